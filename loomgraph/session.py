@@ -62,7 +62,9 @@ class Cuts:
         """Write ``df`` and return it as a scan, so that later plans start from files."""
         self.count += 1
         path = os.path.join(self.base, f"t{self.count}")
-        writer = df.write.option("compression", "zstd")
+        # Uncompressed, so that the file size Catalyst plans with is near the size in memory: a strongly
+        # compressed table of numbers would pass for small and be broadcast.
+        writer = df.write.option("compression", "none")
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(path)

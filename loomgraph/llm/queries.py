@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import leakage, mixing
+from loomgraph.llm import leakage, mixing, truncation
 from loomgraph.session import load
 
 
@@ -31,7 +31,23 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(load(spark, d, "documents"), load(spark, d, "mix_targets"))[1]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_items, p6_cleaned, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cuts(load(spark, d, "documents")).select("doc_id")
+
+
+def p8_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cuts(load(spark, d, "documents"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(load(spark, d, "documents"))
+
+
+def p8_limits(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.limits(load(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_items, p6_cleaned, p7_mix, p7_shares, p8_found, p8_reasons, p8_rates, p8_limits)}
 
 _LEAKS = """
 iw as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from eval_items where text is not null),

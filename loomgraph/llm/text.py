@@ -50,7 +50,7 @@ def norm_source(c: str = "source") -> Column:
 
 def text_key(c: str = "text") -> Column:
     """Identity of a text that was collected again: without byte-order mark, CR and trailing blanks."""
-    t = F.regexp_replace(F.col(c), "^﻿+", "")
+    t = F.regexp_replace(F.col(c), "^\ufeff+", "")
     t = F.regexp_replace(t, "\r\n?", "\n")
     t = F.regexp_replace(t, r"[ \t]+(?=\n)|\s+$", "")
     return F.md5(t)

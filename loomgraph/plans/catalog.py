@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import problems
+from loomgraph.plans import graph_queries, problems, staging_queries  # noqa: F401  (registers its queries)
 
-QUERIES = dict(problems.QUERIES)
-ORACLE = dict(problems.ORACLE)
+QUERIES = graph_queries.QUERIES | problems.QUERIES
+ORACLE = graph_queries.ORACLE | problems.ORACLE

@@ -232,10 +232,14 @@ def a15_thresholds(spark, d):
     return x.join(_count(graph(spark, d).edges, "type"), "type", "left").select("type", "least", n.alias("n"), (n >= F.col("least")).alias("passed"))
 
 
+# config classes written in five ways: absolute, imported, in the own namespace, full, and short
+_WRITTEN = f"""cr as (select id, class_name as c, list_extract(string_split(class_name, {_BS}), -1) as short, array_to_string(string_split(class_name, {_BS})[1:-2], {_BS}) as ns, id % 5 as v from config_references),
+cs as (select * from (select *, row_number() over (partition by id order by updated_at desc) as rn from symbols where id is not null) where rn = 1),
+refs as (select distinct cast(id as varchar) as ref_id, case v when 0 then {_BS} || c when 3 then c else short end as name, case when v = 2 then ns end as namespace, case when v = 1 then [c] end as imports from cr)"""
 _CLASSREFS = f"""cs as (select * from (select *, row_number() over (partition by id order by updated_at desc) as rn from symbols where id is not null) where rn = 1),
-refs as (select id as ref_id, extends as name, namespace, from_json(uses, '["VARCHAR"]') as imports from cs where extends is not null and type = 'class'),
-cand as (
-  select ref_id, 1 as prio, ltrim(name, {_BS}) as key from refs where name like {_BS} || {_BS} || '%'
+refs as (select id as ref_id, extends as name, namespace, from_json(uses, '["VARCHAR"]') as imports from cs where extends is not null and type = 'class')"""
+_RESOLVED = f"""cand as (
+  select ref_id, 1 as prio, ltrim(name, {_BS}) as key from refs where starts_with(name, {_BS})
   union all select ref_id, 2, list_filter(imports, lambda i: lower(list_extract(string_split(i, {_BS}), -1)) = lower(string_split(name, {_BS})[1]))[1] || case when contains(name, {_BS}) then {_BS} || substr(name, instr(name, {_BS}) + 1) else '' end from refs where not starts_with(name, {_BS})
   union all select ref_id, 3, namespace || {_BS} || name from refs where not starts_with(name, {_BS}) and coalesce(namespace, '') <> ''
   union all select ref_id, 4, name from refs where not starts_with(name, {_BS})),
@@ -252,9 +256,20 @@ def _class_refs(spark, d) -> tuple[DataFrame, DataFrame]:
     return refs, now
 
 
-@query(f"with {_CLASSREFS} select ref_id, id as target_id, cast(prio as integer) as prio from best where rn = 1")
-def r01_resolve_extends(spark, d):
-    return R.resolve(*_class_refs(spark, d))
+def _written(spark, d) -> tuple[DataFrame, DataFrame]:
+    cr = load(spark, d, "config_references").select("id", F.col("class_name").alias("c"), F.substring_index("class_name", "\\", -1).alias("short"), (F.col("id") % 5).alias("v"))
+    cr = cr.withColumn("ns", F.expr("substring(c, 1, length(c) - length(short) - 1)"))
+    v = F.col("v")
+    refs = cr.select(
+        F.col("id").cast("string").alias("ref_id"), F.when(v == 0, F.concat(F.lit("\\"), "c")).when(v == 3, F.col("c")).otherwise(F.col("short")).alias("name"),
+        F.when(v == 2, F.col("ns")).alias("namespace"), F.when(v == 1, F.array("c")).alias("imports"),
+    )
+    return refs.distinct(), _class_refs(spark, d)[1]
+
+
+@query(f"with {_WRITTEN}, {_RESOLVED} select ref_id, id as target_id, cast(prio as integer) as prio from best where rn = 1")
+def r01_resolve(spark, d):
+    return R.resolve(*_written(spark, d))
 
 
 @query("""select distinct nullif(case when lower(regexp_replace(regexp_replace(return_type, '^\\?', ''), '(\\[\\])+$', '')) in ('string', 'int', 'float', 'bool', 'array', 'object', 'mixed', 'void', 'null', 'callable', 'iterable') then null else regexp_replace(regexp_replace(return_type, '^\\?', ''), '(\\[\\])+$', '') end, '') as type_name, return_type from symbols where return_type is not null""")
@@ -262,24 +277,24 @@ def r02_clean_types(spark, d):
     return load(spark, d, "symbols").where("return_type is not null").select(R.clean_type("return_type").alias("type_name"), "return_type").distinct()
 
 
-@query(f"""with {_CLASSREFS}, m as (select parent_id, name, min(id) as member_id from cs where type = 'method' group by 1, 2)
-select b.ref_id || ':' || k.name as ref_id, m.member_id from best b join cs k on k.parent_id = b.ref_id and k.type = 'method' join m on m.parent_id = b.id and m.name = k.name where b.rn = 1""")
-def r03_overridden_methods(spark, d):
-    refs, now = _class_refs(spark, d)
+@query(f"""with {_WRITTEN}, {_RESOLVED}, m as (select parent_id, name, min(id) as member_id from cs where type = 'method' group by 1, 2)
+select b.ref_id || ':' || m.name as ref_id, m.member_id from best b join m on m.parent_id = b.id where b.rn = 1""")
+def r03_members(spark, d):
+    refs, now = _written(spark, d)
     best = R.resolve(refs, now)
-    own = now.where("type = 'method'").select(F.col("parent_id").alias("ref_id"), F.col("name").alias("method")).join(best, "ref_id")
-    calls = own.select(F.concat_ws(":", "ref_id", "method").alias("ref_id"), "method", "target_id", "prio").distinct()
+    called = best.join(now.where("type = 'method'").select(F.col("parent_id").alias("target_id"), F.col("name").alias("method")).distinct(), "target_id")
+    calls = called.select(F.concat_ws(":", "ref_id", "method").alias("ref_id"), "method", "target_id", "prio")
     return R.members(calls.select("ref_id", "method"), calls.select("ref_id", "target_id", "prio"), now, "method", "method")
 
 
-@query(f"""with {_CLASSREFS}, lost as (select distinct ltrim(name, {_BS}) as name from refs where ref_id not in (select ref_id from best))
+@query(f"""with {_CLASSREFS}, {_RESOLVED}, lost as (select distinct ltrim(name, {_BS}) as name from refs where ref_id not in (select ref_id from best))
 select 'external_' || md5(name) as id, name, case when contains(name, 'Interface') then 'interface' when contains(name, 'Trait') then 'trait' else 'class' end as type, '<external>' as file_path from lost""")
 def r05_externals(spark, d):
     refs, now = _class_refs(spark, d)
     return R.externals(refs, R.resolve(refs, now))
 
 
-@query(f"with {_CLASSREFS} select 'extends' as kind, count(*) as n, count(distinct name) as names from refs where ref_id not in (select ref_id from best)")
+@query(f"with {_CLASSREFS}, {_RESOLVED} select 'extends' as kind, count(*) as n, count(distinct name) as names from refs where ref_id not in (select ref_id from best)")
 def r07_unresolved(spark, d):
     refs, now = _class_refs(spark, d)
     return R.unresolved_report(refs.withColumn("kind", F.lit("extends")), R.resolve(refs, now))
@@ -362,9 +377,9 @@ def q50_hierarchy(spark, d):
     return ask(graph(spark, d), "Which classes extend BaseModel?")
 
 
-@query(f"""with {N}, {E}, x as (select distinct s.id, s.name, s.type, s.file_path, e.type || ' ' || t.name as detail from e join n s on s.id = e.src join n t on t.id = e.dst where e.type = 'CALLS' and contains(lower(t.name), 'tag') order by s.name, s.id, detail limit 20) select * from x""")
+@query(f"""with {N}, {E}, x as (select distinct s.id, s.name, s.type, s.file_path, e.type || ' ' || t.name as detail from e join n s on s.id = e.src join n t on t.id = e.dst where e.type = 'CALLS' and contains(lower(t.name), 'resolve') order by s.name, s.id, detail limit 20) select * from x""")
 def q50_callers(spark, d):
-    return ask(graph(spark, d), "Who call tag?")
+    return ask(graph(spark, d), "Who call resolve?")
 
 
 @query(f"""with {N}, w as (select *, lower(name) as low from n where contains(lower(name), 'loader')) select id, name, type, file_path, 'definition' as detail from w order by case when low = 'loader' then 0 else 1 end, name, id limit 10""")

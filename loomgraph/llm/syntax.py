@@ -51,9 +51,14 @@ def language(path: str = "file_path") -> Column:
 
 
 def current_files(source_files: DataFrame) -> DataFrame:
-    """(file_path, repo, lang, content): the current row of each file; content can be null."""
+    """(file_path, repo, lang, content): the current row of each file; content can be null.
+
+    The number of partitions is fixed, as the work that follows costs far more a byte than the shuffle
+    whose size would have them merged.
+    """
+    parts = int(source_files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        source_files.where(F.col("file_path").isNotNull()).groupBy("file_path").agg(F.max(F.struct("fetched_at", "content", "repo")).alias("v"))
+        source_files.where(F.col("file_path").isNotNull()).repartition(parts, "file_path").groupBy("file_path").agg(F.max(F.struct("fetched_at", "content", "repo")).alias("v"))
         .select("file_path", F.col("v.repo").alias("repo"), language().alias("lang"), F.col("v.content").alias("content"))
     )
 

@@ -72,10 +72,10 @@ def _plan(texts: DataFrame, targets: DataFrame, total_tokens: int | None) -> lis
         r |= {"tokens": r["tokens"] or 0, "texts": r["texts"] or 0, "feasible_share": 0.0, "wanted": 0.0, "whole": 0, "sampled": 0.0, "mass": r["mass"] or 0.0}
         if r in live:
             r["feasible_share"] = r["target_share"] / share_sum
-            r["wanted"] = min(r["feasible_share"] * size, r["tokens"] * r["max_repeats"])
+            r["wanted"] = float(min(r["feasible_share"] * size, r["tokens"] * r["max_repeats"]))
             copies = r["wanted"] / r["tokens"]
             r["whole"] = math.floor(copies + 1e-9)
-            r["sampled"] = max(0.0, r["wanted"] - r["whole"] * r["tokens"])
+            r["sampled"] = float(max(0.0, r["wanted"] - r["whole"] * r["tokens"]))
             if r["whole"] >= r["max_repeats"]:
                 r["whole"], r["sampled"] = r["max_repeats"], 0.0
     return rows

@@ -98,7 +98,8 @@ def build(state: State, languages: list[str], plugins: list[Plugin]) -> State:
     state = replace(state, symbols=extract.symbols_of(every), references=extract.references_of(every))
     state = _hook(plugins, "after_collect", state)
 
-    tree = files.structure(state.files)
+    # Python files get rows too, so that their symbols hang in the tree
+    tree = files.structure(state.files, extensions=[*paths.INDEXABLE, "py"])
     own = state.symbols.select("id", "name", "type", "file_path", F.coalesce("parent_id", F.concat(F.lit("file_"), F.md5(paths.norm("file_path")))).alias("parent_id"))
     space = state.symbols.where("type = 'namespace'").groupBy("file_path").agg(F.min("name").alias("namespace"))
     imports = state.symbols.where("type = 'import'").groupBy("file_path").agg(F.collect_set("name").alias("imports"))

@@ -15,7 +15,7 @@ def read_tree(spark: SparkSession, root: str, glob: str = "*", language: str | N
     return df.where(paths.discovered(F.col("file_path"), language)) if language else df
 
 
-def structure(files: DataFrame, prune: bool = True) -> DataFrame:
+def structure(files: DataFrame, prune: bool = True, extensions: list[str] | None = None) -> DataFrame:
     """Directory and file rows (id, name, type, file_path, parent_id) of a list of paths, each once."""
     p = files.where(F.col("file_path").isNotNull()).select(paths.norm("file_path").alias("p")).distinct()
     p = p.where(~paths.pruned(F.col("p"))) if prune else p
@@ -24,7 +24,7 @@ def structure(files: DataFrame, prune: bool = True) -> DataFrame:
     row = lambda kind, pre: (
         F.concat(F.lit(pre), F.md5("p")).alias("id"), paths.basename(F.col("p")).alias("name"), F.lit(kind).alias("type"), F.col("p").alias("file_path"), F.concat(F.lit("dir_"), F.md5(up)).alias("parent_id"),
     )
-    return dirs.select(*row("directory", "dir_")).unionByName(p.where(paths.extension(F.col("p")).isin(paths.INDEXABLE)).select(*row("file", "file_")))
+    return dirs.select(*row("directory", "dir_")).unionByName(p.where(paths.extension(F.col("p")).isin(extensions or paths.INDEXABLE)).select(*row("file", "file_")))
 
 
 def read_config(path: str) -> dict:

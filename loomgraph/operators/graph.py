@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.labels import label
-from loomgraph.operators.staging import insert_first, upsert_last
+from loomgraph.operators.staging import insert_first
 from loomgraph.schema import edge_type
 
 NODE_COLUMNS = ["id", "name", "type", "label", "file_path", "line_number", "namespace", "parent_id", "visibility", "return_type", "metadata"]
@@ -46,8 +46,11 @@ class PropertyGraph:
 
 
 def build_nodes(symbols: DataFrame) -> DataFrame:
-    cols = [c for c in NODE_COLUMNS if c != "label"]
-    now = upsert_last(symbols.where(F.col("id").isNotNull()).select(*cols, "updated_at"), ["id"], ["updated_at"])
+    """Current row of each id. One aggregate a column, so that a query reads and shuffles only what it
+    uses; this relies on the staging contract that rows of an id with equal ``updated_at`` are identical
+    (``upsert_last`` decides ties by the whole row, at the price of always moving it)."""
+    cols = [c for c in NODE_COLUMNS if c not in ("id", "label")]
+    now = symbols.where(F.col("id").isNotNull()).groupBy("id").agg(*[F.max_by(c, "updated_at").alias(c) for c in cols])
     return now.withColumn("label", label()).select(*NODE_COLUMNS)
 
 

@@ -95,7 +95,8 @@ def cycles(edges: DataFrame, max_len: int, min_len: int = 2, peel: int = 1) -> D
 def degrees(g: PropertyGraph, *types: str) -> DataFrame:
     """(id, out_degree, in_degree) of every node, 0 when there are none. Counts are partial aggregates."""
     e = g.edge(*types)
-    both = e.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(e.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    one = lambda end, o: F.struct(F.col(end).alias("id"), F.lit(o).alias("o"), F.lit(1 - o).alias("i"))
+    both = e.select(F.inline(F.array(one("src", 1), one("dst", 0))))
     d = both.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
     return g.nodes.select("id").join(d, "id", "left").select("id", F.coalesce("out_degree", F.lit(0)).alias("out_degree"), F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
 

@@ -195,7 +195,7 @@ def roots_and_depths(symbols: DataFrame) -> DataFrame:
     hung = leaves.where("p is not null").join(inner.withColumnRenamed("n", "p"), "p").select("n", "root_id", F.when(F.col("depth") < 0, F.lit(-1).cast("long")).otherwise(F.col("depth") + 1).alias("depth"))
     below = inner.unionByName(hung)
     # a root that is a leaf is its own whole tree
-    return (
+    return cuts.finish(
         nodes.select("n", "id").join(below, "n", "left")
         .select("id", F.coalesce("root_id", "id").alias("root_id"), F.coalesce("depth", F.lit(0)).cast("int").alias("depth"))
     )
@@ -231,8 +231,10 @@ def hierarchy(symbols: DataFrame) -> DataFrame:
     ring = cuts.write(loops(cuts, cyclic, nodes))
     hung_ring = leaves.where("p is not null").join(ring.withColumnRenamed("n", "p"), "p").select("n", "root_id")
     every = inner.drop("heavy_size").unionByName(hung).unionByName(lone).unionByName(ring.unionByName(hung_ring).select("n", "root_id", *none))
-    return nodes.select("n", "id").join(every, "n").select(
-        "id", "root_id", F.col("depth").cast("int").alias("depth"), "path", (F.col("size") - 1).alias("n_descendants"), "pre", (F.col("pre") + F.col("size") - 1).alias("last")
+    return cuts.finish(
+        nodes.select("n", "id").join(every, "n").select(
+            "id", "root_id", F.col("depth").cast("int").alias("depth"), "path", (F.col("size") - 1).alias("n_descendants"), "pre", (F.col("pre") + F.col("size") - 1).alias("last")
+        )
     )
 
 
@@ -255,7 +257,7 @@ def descendants(symbols: DataFrame) -> DataFrame:
         F.conv("m", 36, 10).cast("long").alias("m"), "n", (F.col("len") - F.col("i")).alias("distance")
     )
     ids = nodes.select("n", "id")
-    return (
+    return cuts.finish(
         pairs.join(ids.withColumnRenamed("id", "descendant_id"), "n")
         .join(ids.select(F.col("n").alias("m"), F.col("id").alias("ancestor_id")), "m")
         .select("ancestor_id", "descendant_id", "distance")

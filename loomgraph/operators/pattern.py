@@ -75,7 +75,7 @@ def closure(edges: DataFrame, start: DataFrame, direction: str = "out", max_roun
         size = frontier.count()
         if size:
             found = frontier if found is None else found.unionByName(frontier)
-    return found if found is not None else origin.where("false")
+    return cuts.finish(found if found is not None else origin.where("false"))
 
 
 def core_edges(edges: DataFrame, rounds: int) -> DataFrame:

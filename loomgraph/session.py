@@ -8,7 +8,9 @@ joins) and is computed once.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -46,7 +48,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="loomgraph-cut-")
+        private = tempfile.mkdtemp(prefix="loomgraph-cut-")
+        atexit.register(shutil.rmtree, private, ignore_errors=True)
+        _LOCAL[app] = "file://" + private
     return _LOCAL[app]
 
 
@@ -81,6 +85,18 @@ class Cuts:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Return the result after deleting the tables that its plan does not read."""
+        name = self.base.rsplit("/", 1)[-1]
+        read = {f.split(f"{name}/", 1)[1].split("/", 1)[0] for f in df.inputFiles() if f"{name}/" in f}
+        jvm = self.spark._jvm
+        for n in range(1, self.count + 1):
+            if f"t{n}" not in read:
+                p = jvm.org.apache.hadoop.fs.Path(os.path.join(self.base, f"t{n}"))
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        return df
+
+
 #: Most rows of a side that may be broadcast after it was counted; about 100 bytes a row at most here.
 BROADCAST_ROWS = 100_000
 

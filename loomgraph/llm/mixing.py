@@ -137,4 +137,4 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
         F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.col("tokens").alias("source_tokens"), F.col("texts").alias("source_texts"),
         F.coalesce("mix_tokens", F.lit(0)).alias("mix_tokens"), F.coalesce("mix_texts", F.lit(0)).alias("mix_texts"),
     )
-    return chosen, shares
+    return chosen, cuts.finish(shares)

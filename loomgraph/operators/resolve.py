@@ -112,3 +112,15 @@ def defines_repair(nodes: DataFrame) -> DataFrame:
     c = nodes.where("type = 'class'").select(F.col("id").alias("class_id"), "file_path", F.col("namespace").alias("cn"))
     m = nodes.where("type = 'method'").select(F.col("id").alias("method_id"), "file_path", F.col("namespace").alias("mn"))
     return c.join(m, (c["file_path"] == m["file_path"]) & c["cn"].eqNullSafe(m["mn"])).select("class_id", "method_id")
+
+
+def class_word(name: str, own: str, parent: str) -> Column:
+    """``self`` and ``static`` mean the own class, ``parent`` its base; other names stay."""
+    low = F.lower(name)
+    return F.when(low.isin(SELF_WORDS), F.col(own)).when(low == "parent", F.col(parent)).otherwise(F.col(name))
+
+
+def loads_via_config(registered: DataFrame, nodes: DataFrame, manager: str) -> DataFrame:
+    """(src, dst): the manager class to every registered class. The manager is one id, read as a scalar."""
+    one = nodes.where((F.col("type") == "class") & (F.col("name") == manager)).agg(F.min("id")).scalar()
+    return registered.select(one.alias("src"), F.col("id").alias("dst")).where("src is not null").distinct()

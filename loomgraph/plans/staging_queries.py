@@ -440,3 +440,35 @@ def x99_stored_against_extracted(spark, d):
     read = extract.symbols_of(_extracted(spark, d)).where(F.col("type").isin(kinds)).groupBy("file_path").agg(F.count("*").alias("read"))
     stored = graph(spark, d).nodes.where(F.col("type").isin(kinds)).groupBy("file_path").agg(F.count("*").alias("stored"))
     return stored.join(read, "file_path").where("read <> stored")
+
+
+_REG = f"""cr as (select config_file, config_key, class_name, min(id) as cid, arg_min(reference_type, id) as reference_type from config_references group by 1, 2, 3),
+reg as (select n.id, n.name, cr.config_file, cr.config_key, cr.reference_type from cr join n on n.name = cr.class_name where n.type = 'class')"""
+
+
+@query(f"with {N}, {_REG} select distinct (select min(id) from n where type = 'class' and name = 'Orvane' || {_BS} || 'Core' || {_BS} || 'Container') as src, id as dst from reg")
+def j09_loads_via_config(spark, d):
+    n = graph(spark, d).nodes
+    return R.loads_via_config(R.registrations(load(spark, d, "config_references"), n), n, "Orvane\\Core\\Container")
+
+
+@query(f"""with {N}, {_REG} select distinct 'MATCH (s {{id: ''' || replace(id, {_BS}, {_BS} || {_BS}) || '''}}), (t {{id: ''config_' || md5(config_file) || '''}}) CREATE (s)-[:REGISTERED_IN]->(t);' as line from reg""")
+def k22_registration_script(spark, d):
+    r = R.registrations(load(spark, d, "config_references"), graph(spark, d).nodes)
+    edges = r.select(F.col("id").alias("src"), F.concat(F.lit("config_"), F.md5("config_file")).alias("dst"), F.lit("REGISTERED_IN").alias("type"))
+    return sinks.script_edges(edges.distinct())
+
+
+@query(f"""with s as (select id, name, extends, return_type, row_number() over (partition by id order by updated_at desc) as rn from symbols where type in ('class', 'method'))
+select id, case when lower(return_type) in ('self', 'static') then name when lower(return_type) = 'parent' then extends else return_type end as meant from s where rn = 1 and return_type is not null""")
+def r08_class_words(spark, d):
+    s = load(spark, d, "symbols").where("type in ('class', 'method')").select("id", "name", "extends", "return_type", "updated_at")
+    return S.upsert_last(s, ["id"], ["updated_at"]).where("return_type is not null").select("id", R.class_word("return_type", "name", "extends").alias("meant"))
+
+
+@query()
+def x27_synthetic_types(spark, d):
+    """Return types that a file names but does not declare or import: one placeholder each."""
+    rows = _extracted(spark, d, "ts", "tsx")
+    named = extract.references_of(rows).where("reference_type = 'RETURNS'").select("file_path", F.col("target").alias("name")).distinct()
+    return named.join(extract.symbols_of(rows).select("file_path", "name"), ["file_path", "name"], "left_anti")

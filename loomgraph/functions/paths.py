@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Extensions and directories of source discovery.
-INDEXABLE = ["php", "js", "jsx", "ts", "tsx", "json", "md", "yml", "yaml", "xml", "html", "css"]
+INDEXABLE = ["php", "js", "jsx", "ts", "tsx", "json", "yml", "yaml", "xml", "html", "css", "scss"]
 SKIPPED = {"php": [], "js": ["node_modules", "vendor"], "py": ["__pycache__", "venv", "env", ".venv", "node_modules", "vendor"], "ts": ["node_modules", ".next", "dist", "build", "out"]}
-EXTENSIONS = {"php": ["php"], "js": ["js", "jsx", "mjs", "es6", "cjs"], "py": ["py"], "ts": ["ts", "tsx"]}
+EXTENSIONS = {"php": ["php"], "js": ["js", "jsx", "mjs", "ts", "tsx"], "py": ["py"], "ts": ["ts", "tsx"]}
 
 
 def norm(path: str | Column) -> Column:

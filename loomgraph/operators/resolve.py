@@ -9,7 +9,7 @@ from loomgraph.operators.staging import insert_first
 
 # Node types a class-like name can mean; builtin type names; keywords for the own class.
 RESOLVABLE = ["class", "interface", "trait", "function", "namespace", "enum"]
-BUILTIN_TYPES = ["string", "int", "float", "bool", "array", "object", "mixed", "void", "null", "callable", "iterable"]
+BUILTIN_TYPES = ["int", "string", "bool", "float", "array", "object", "void", "mixed", "null", "resource", "callable"]
 SELF_WORDS = ["self", "static"]
 
 
@@ -23,7 +23,7 @@ def _last(name: Column) -> Column:
     return F.substring_index(name, "\\", -1)
 
 
-def candidates(refs: DataFrame) -> DataFrame:
+def candidates(refs: DataFrame, fallback: list[str] | None = None) -> DataFrame:
     """refs (ref_id, name, namespace, imports array<string>) -> (ref_id, prio, key, suffix).
 
     Priorities: 1 a leading backslash is absolute, 2 an import whose last part is the name's first
@@ -35,26 +35,29 @@ def candidates(refs: DataFrame) -> DataFrame:
     listed = F.coalesce("imports", F.array().cast("array<string>"))
     imported = F.get(F.filter(listed, lambda i: F.lower(F.substring_index(i, "\\", -1)) == F.lower(first)), 0)
     absolute = n.startswith("\\")
+    extra = fallback or []
+    key = lambda prio, when, value: F.struct(F.lit(prio).alias("prio"), F.when(when, value).alias("key"), F.lit(False).alias("suffix"))
     keys = F.array(
-        F.struct(F.lit(1).alias("prio"), F.when(absolute, F.ltrim(n, F.lit("\\"))).alias("key")),
-        F.struct(F.lit(2).alias("prio"), F.when(~absolute, F.concat(imported, rest)).alias("key")),
-        F.struct(F.lit(3).alias("prio"), F.when(~absolute & (F.coalesce("namespace", F.lit("")) != ""), F.concat("namespace", F.lit("\\"), n)).alias("key")),
-        F.struct(F.lit(4).alias("prio"), F.when(~absolute, n).alias("key")),
-        F.struct(F.lit(5).alias("prio"), F.when(~absolute & (F.instr("name", "\\") == 0), F.lower(n)).alias("key")),
+        key(1, absolute, F.ltrim(n, F.lit("\\"))),
+        key(2, ~absolute, F.concat(imported, rest)),
+        key(3, ~absolute & (F.coalesce("namespace", F.lit("")) != ""), F.concat("namespace", F.lit("\\"), n)),
+        key(4, ~absolute, n),
+        *[key(5 + i, ~absolute, F.concat(F.lit(space + "\\"), n)) for i, space in enumerate(extra)],
+        F.struct(F.lit(5 + len(extra)).alias("prio"), F.when(~absolute & (F.instr("name", "\\") == 0), F.lower(n)).alias("key"), F.lit(True).alias("suffix")),
     )
     ok = n.isNotNull() & ~n.rlike(r"(^/)|(/.*\.\w+$)")
     return refs.where(ok).select("ref_id", F.inline(keys)).where("key is not null")
 
 
-def resolve(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+def resolve(refs: DataFrame, nodes: DataFrame, fallback: list[str] | None = None) -> DataFrame:
     """(ref_id, target_id, prio): the best match of every reference that has one; among equals the least
     id. Resolution looks at the final set of symbols, so its result does not depend on any order."""
     known = nodes.where(F.col("type").isin(RESOLVABLE)).select(F.col("id").alias("target_id"), F.col("name").alias("full"))
     # one target per key, so that a frequent short name cannot multiply rows
     exact = known.groupBy(F.col("full").alias("key")).agg(F.min("target_id").alias("target_id"))
     short = known.where(F.instr("full", "\\") > 0).groupBy(F.lower(_last(F.col("full"))).alias("key")).agg(F.min("target_id").alias("target_id"))
-    c = candidates(refs)
-    hits = c.where("prio < 5").join(exact, "key").unionByName(c.where("prio = 5").join(short, "key"))
+    c = candidates(refs, fallback)
+    hits = c.where("not suffix").join(exact, "key").unionByName(c.where("suffix").join(short, "key"))
     return hits.groupBy("ref_id").agg(F.min(F.struct("prio", "target_id")).alias("b")).select("ref_id", F.col("b.target_id").alias("target_id"), F.col("b.prio").alias("prio"))
 
 

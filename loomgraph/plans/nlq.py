@@ -24,7 +24,7 @@ class Template:
     description: str
     words: tuple[str, ...] = ()
     types: tuple[str, ...] = ()
-    ranks: tuple[tuple[str, str], ...] = ()
+    ranks: tuple[tuple[tuple[str, str], ...], ...] = ()  # each a conjunction of (column, value)
     limit: int = 20
     extract: str = ""
     edges: tuple[str, ...] = ()
@@ -33,22 +33,27 @@ class Template:
 _CODE = ("class", "method", "function")
 # Patterns, search words, filters, rankings and limits of the front end, in order.
 TEMPLATES = [
-    Template(r"how.*(email|mail).*(sent|send)", "mail sending", ("email", "mail", "smtp", "send"), _CODE, (("name", "send"), ("name", "email"))),
-    Template(r"(where|how).*(auth|login|authentication)", "authentication", ("auth", "login", "authenticate", "session"), _CODE, (("type", "class"), ("name", "auth"))),
-    Template(r"(what|where|how).*(validat|sanitiz).*(user|input|data)", "input validation", ("validat", "sanitiz", "filter", "check"), _CODE, (("name", "validat"),)),
-    Template(r"(how|where).*(database|query|sql|repository)", "data access", ("query", "repository", "database", "entity", "orm"), ("class", "method"), (("name", "repository"), ("name", "query"))),
-    Template(r"(what|where|list).*(api|endpoint|route|controller)", "interfaces", ("controller", "action", "api", "endpoint"), _CODE, (("type", "class"), ("name", "controller"))),
-    Template(r"(how|where).*(error|exception).*(handled|caught|thrown)", "error handling", ("error", "exception", "catch", "throw"), (), (("name", "exception"), ("name", "error"))),
+    Template(r"how.*(email|mail).*(sent|send)", "mail sending", ("email", "mail", "smtp", "send"), _CODE, ((("name", "send"),), (("name", "email"),))),
+    Template(r"(where|how).*(auth|login|authentication)", "authentication", ("auth", "login", "authenticate", "session"), _CODE, ((("type", "class"),), (("name", "auth"),))),
+    Template(r"(what|where|how).*(validat|sanitiz).*(user|input|data)", "input validation", ("validat", "sanitiz", "filter", "check"), _CODE, ((("name", "validat"),),)),
+    Template(r"(how|where).*(database|query|sql|repository)", "data access", ("query", "repository", "database", "entity", "orm"), ("class", "method"), ((("type", "class"),), (("name", "repository"),))),
+    Template(r"(what|where|list).*(api|endpoint|route|controller)", "interfaces", ("controller", "action", "api", "endpoint"), ("class", "method"), ((("type", "class"), ("name", "controller")),)),
+    Template(r"(how|where).*(error|exception).*(handled|caught|thrown)", "error handling", ("error", "exception", "catch", "throw"), (), ((("name", "exception"),),)),
     Template(r"(what|which).*(class|classes).*(extend|inherit|implement).*(\w+)", "class hierarchy", limit=20, extract=r"(extend|inherit|implement)\s+(\w+)", edges=("EXTENDS", "IMPLEMENTS")),
     Template(r"(what|which|who).*(call|invoke|use).*(\w+)", "callers", limit=20, extract=r"(call|invoke|use)\s+(\w+)", edges=("CALLS",)),
-    Template(r"(where|which file).*(class|function|method).*(\w+)", "definition", types=(), limit=10, extract=r"(class|function|method)\s+(\w+)"),
+    Template(r"(where|which file).*(class|function|method).*(\w+)", "definition", limit=10, extract=r"(class|function|method)\s+(\w+)"),
 ]
 SYNONYMS = {
-    "email": ["email", "mail", "smtp"], "auth": ["auth", "login", "session"], "database": ["database", "query", "sql"], "api": ["api", "endpoint", "controller"],
-    "user": ["user", "account", "profile"], "error": ["error", "exception", "throw"], "validate": ["validate", "sanitize", "check"],
+    "email": ["email", "mail", "smtp", "mailer", "message"],
+    "auth": ["auth", "login", "authenticate", "session", "token", "credential"],
+    "database": ["database", "db", "query", "sql", "repository", "entity", "orm"],
+    "user": ["user", "account", "profile", "member"],
+    "api": ["api", "endpoint", "route", "controller", "action", "rest"],
+    "error": ["error", "exception", "throw", "catch", "handle", "fail"],
+    "validate": ["validate", "validation", "sanitize", "filter", "check", "verify"],
 }
 QUESTIONS = [
-    "How are emails sent?", "Where is authentication handled?", "What validates user input?", "How are database queries executed?", "What API endpoints exist?",
+    "How is email sent?", "Where is user authentication handled?", "What validates user input?", "How are database queries executed?", "What are the API endpoints?",
     "How are errors handled?", "Which classes extend BaseEntity?", "What calls the save method?", "Where is the User class defined?", "Show me the authentication controllers",
 ]
 
@@ -56,10 +61,9 @@ QUESTIONS = [
 def keywords(text: str) -> list[str]:
     """Words of a question with their synonyms, sorted, at most five."""
     low, found = text.lower(), set()
-    for key, group in SYNONYMS.items():
-        if key in low or any(w in low for w in group):
+    for group in SYNONYMS.values():
+        if any(w in low for w in group):
             found |= set(group)
-            break
     found |= {w for w in re.findall(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b", low) if len(w) > 2}
     return sorted(found)[:5]
 
@@ -97,5 +101,8 @@ def ask(g: PropertyGraph, text: str) -> DataFrame:
     n = g.nodes.where(_any(low, words)) if words else g.nodes.where("false")
     if t and t.types:
         n = n.where(F.col("type").isin(list(t.types)))
-    ranks = [F.when((F.col("type") == v) if c == "type" else low.contains(v), 0).otherwise(1) for c, v in (t.ranks if t else ())]
-    return n.orderBy(*ranks, "name", "file_path", "id").limit(t.limit if t else 20).select(*cols, F.lit(t.description if t else "keyword search").alias("detail"))
+    if t is None:
+        return n.orderBy("type", "name", "id").limit(30).select(*cols, F.lit("keyword search").alias("detail"))
+    test = lambda c, v: (F.col("type") == v) if c == "type" else low.contains(v)
+    ranks = [F.when(reduce(lambda a, b: a & b, [test(c, v) for c, v in rank]), 0).otherwise(1) for rank in t.ranks]
+    return n.orderBy(*ranks, "name", "file_path", "id").limit(t.limit).select(*cols, F.lit(t.description).alias("detail"))

@@ -272,7 +272,7 @@ def r01_resolve(spark, d):
     return R.resolve(*_written(spark, d))
 
 
-@query("""select distinct nullif(case when lower(regexp_replace(regexp_replace(return_type, '^\\?', ''), '(\\[\\])+$', '')) in ('string', 'int', 'float', 'bool', 'array', 'object', 'mixed', 'void', 'null', 'callable', 'iterable') then null else regexp_replace(regexp_replace(return_type, '^\\?', ''), '(\\[\\])+$', '') end, '') as type_name, return_type from symbols where return_type is not null""")
+@query("""select distinct nullif(case when lower(regexp_replace(regexp_replace(return_type, '^\\?', ''), '(\\[\\])+$', '')) in ('int', 'string', 'bool', 'float', 'array', 'object', 'void', 'mixed', 'null', 'resource', 'callable') then null else regexp_replace(regexp_replace(return_type, '^\\?', ''), '(\\[\\])+$', '') end, '') as type_name, return_type from symbols where return_type is not null""")
 def r02_clean_types(spark, d):
     return load(spark, d, "symbols").where("return_type is not null").select(R.clean_type("return_type").alias("type_name"), "return_type").distinct()
 
@@ -305,7 +305,7 @@ _PATHS = f"""p as (select distinct replace(file_path, {_BS}, '/') as p from sour
 
 @query(f"""with {_PATHS}, k as (select * from p where not regexp_matches(p, '/(\\.[^/]*|vendor|node_modules)/')),
 parts as (select p, string_split(p, '/') as s from k), dirs as (select distinct array_to_string(s[1:i], '/') as p from (select s, unnest(range(2, len(s))) as i from parts)),
-f as (select p from k where lower(regexp_extract(p, '\\.([^./]+)$', 1)) in ('php', 'js', 'jsx', 'ts', 'tsx', 'json', 'md', 'yml', 'yaml', 'xml', 'html', 'css')),
+f as (select p from k where lower(regexp_extract(p, '\\.([^./]+)$', 1)) in ('php', 'js', 'jsx', 'ts', 'tsx', 'json', 'yml', 'yaml', 'xml', 'html', 'css', 'scss')),
 u as (select 'dir_' as pre, 'directory' as type, p from dirs union all select 'file_', 'file', p from f), w as (select *, array_to_string(string_split(p, '/')[1:-2], '/') as up from u)
 select pre || md5(p) as id, list_extract(string_split(p, '/'), -1) as name, type, p as file_path, case when up <> '' then 'dir_' || md5(up) end as parent_id from w""")
 def s01_structure(spark, d):
@@ -313,7 +313,7 @@ def s01_structure(spark, d):
 
 
 @query(f"""with {_PATHS} select p as file_path, regexp_matches(p, '/(node_modules|vendor)/') as skipped_js, lower(regexp_extract(p, '\\.([^./]+)$', 1)) as extension,
-lower(regexp_extract(p, '\\.([^./]+)$', 1)) in ('js', 'jsx', 'mjs', 'es6', 'cjs') and not regexp_matches(p, '/(node_modules|vendor)/') as js, lower(regexp_extract(p, '\\.([^./]+)$', 1)) in ('ts', 'tsx') and not regexp_matches(p, '/(node_modules|\\.next|dist|build|out)/') and not regexp_matches(p, '/\\.[^/]+/') as ts,
+lower(regexp_extract(p, '\\.([^./]+)$', 1)) in ('js', 'jsx', 'mjs', 'ts', 'tsx') and not regexp_matches(p, '/(node_modules|vendor)/') as js, lower(regexp_extract(p, '\\.([^./]+)$', 1)) in ('ts', 'tsx') and not regexp_matches(p, '/(node_modules|\\.next|dist|build|out)/') and not regexp_matches(p, '/\\.[^/]+/') as ts,
 lower(regexp_extract(p, '\\.([^./]+)$', 1)) = 'py' and not regexp_matches(p, '/(__pycache__|venv|env|\\.venv|node_modules|vendor)/') as py, lower(regexp_extract(p, '\\.([^./]+)$', 1)) = 'php' as php from p""")
 def s05_discovery(spark, d):
     p = load(spark, d, "source_files").where("file_path is not null").select(paths.norm("file_path").alias("file_path")).distinct()
@@ -359,9 +359,9 @@ def d01_ids(spark, d):
 _NL = {
     0: ("contains(low, 'email') or contains(low, 'mail') or contains(low, 'smtp') or contains(low, 'send')", "type in ('class', 'method', 'function')", "case when contains(low, 'send') then 0 else 1 end, case when contains(low, 'email') then 0 else 1 end", "mail sending"),
     2: ("contains(low, 'validat') or contains(low, 'sanitiz') or contains(low, 'filter') or contains(low, 'check')", "type in ('class', 'method', 'function')", "case when contains(low, 'validat') then 0 else 1 end", "input validation"),
-    3: ("contains(low, 'query') or contains(low, 'repository') or contains(low, 'database') or contains(low, 'entity') or contains(low, 'orm')", "type in ('class', 'method')", "case when contains(low, 'repository') then 0 else 1 end, case when contains(low, 'query') then 0 else 1 end", "data access"),
-    4: ("contains(low, 'controller') or contains(low, 'action') or contains(low, 'api') or contains(low, 'endpoint')", "type in ('class', 'method', 'function')", "case when type = 'class' then 0 else 1 end, case when contains(low, 'controller') then 0 else 1 end", "interfaces"),
-    5: ("contains(low, 'error') or contains(low, 'exception') or contains(low, 'catch') or contains(low, 'throw')", "true", "case when contains(low, 'exception') then 0 else 1 end, case when contains(low, 'error') then 0 else 1 end", "error handling"),
+    3: ("contains(low, 'query') or contains(low, 'repository') or contains(low, 'database') or contains(low, 'entity') or contains(low, 'orm')", "type in ('class', 'method')", "case when type = 'class' then 0 else 1 end, case when contains(low, 'repository') then 0 else 1 end", "data access"),
+    4: ("contains(low, 'controller') or contains(low, 'action') or contains(low, 'api') or contains(low, 'endpoint')", "type in ('class', 'method')", "case when type = 'class' and contains(low, 'controller') then 0 else 1 end", "interfaces"),
+    5: ("contains(low, 'error') or contains(low, 'exception') or contains(low, 'catch') or contains(low, 'throw')", "true", "case when contains(low, 'exception') then 0 else 1 end", "error handling"),
 }
 
 
@@ -472,3 +472,9 @@ def x27_synthetic_types(spark, d):
     rows = _extracted(spark, d, "ts", "tsx")
     named = extract.references_of(rows).where("reference_type = 'RETURNS'").select("file_path", F.col("target").alias("name")).distinct()
     return named.join(extract.symbols_of(rows).select("file_path", "name"), ["file_path", "name"], "left_anti")
+
+
+@query(f"""with {N}, w as (select *, lower(name) as low from n) select id, name, type, file_path, 'keyword search' as detail from w
+where contains(low, 'basket') or contains(low, 'gate') or contains(low, 'ledger') or contains(low, 'the') order by type, name, id limit 30""")
+def q50_keyword_search(spark, d):
+    return ask(graph(spark, d), "Ledger gate of the basket")

@@ -197,14 +197,20 @@ def php(path: str, text: str) -> list[Row]:
     return out
 
 
-def route(path: str) -> str | None:
-    """Route that a page or API file serves, from its path."""
+_PAGE, _GROUP = re.compile(r"(page|layout|route)\.tsx?$"), re.compile(r"\(.*\)$")
+
+
+def route(path: str) -> tuple[str | None, bool]:
+    """Route that a file under ``app`` or ``pages/api`` serves, from its path, and whether it is an API."""
     p = path.replace("\\", "/")
-    m = re.search(r"/(?:src/)?app/(.*?)/?(?:page|layout|route)\.(?:tsx?|jsx?)$", p)
+    m = re.search(r"(?:^|/)app/(.+)$", p)
     if m:
-        return "/" + "/".join(s for s in m.group(1).split("/") if s and not re.fullmatch(r"\(.*\)", s))
-    m = re.search(r"/pages/(api/.*)\.(?:tsx?|jsx?)$", p)
-    return "/" + re.sub(r"/index$", "", m.group(1)) if m else None
+        steps = [s for s in m.group(1).split("/") if not _GROUP.match(s)]
+        api = steps[:1] == ["api"]
+        steps = [s for s in steps[api:] if not _PAGE.match(s)]
+        return ("/" + "/".join(steps) if steps else None), api
+    m = re.search(r"(?:^|/)pages/api/(.+)$", p)
+    return ("/" + "/".join(re.sub(r"\.[^.]*$", "", s) for s in m.group(1).split("/")), True) if m else (None, False)
 
 
 def script(path: str, text: str) -> list[Row]:
@@ -213,7 +219,7 @@ def script(path: str, text: str) -> list[Row]:
     pre = "next" if typed else "js"
     t, out = Text(path, text, _NOISE), []
     code, raw = t.code, text
-    serves = route(path)
+    serves, api = route(path)
     client = re.match(r"\s*['\"]use client['\"]", raw) is not None
     for m in re.finditer(r"\bimport\b\s*(type\s+)?([^;'\"()]*?)\s*(?:from\s*)?(?=[ ]*(['\"]))['\"]([^'\"\n]+)['\"]|\brequire\(\s*['\"]([^'\"\n]+)['\"]\s*\)", raw):
         module = m.group(4) or m.group(5)
@@ -252,7 +258,7 @@ def script(path: str, text: str) -> list[Row]:
         body = code[a:b] if b > a else code[m.end() : m.end() + 400]
         markup = re.search(r"(?:return|=>|\()\s*\(?\s*<[A-Za-z>]", body) is not None and path.endswith("x")
         hooks = sorted(set(re.findall(r"\b(use[A-Z]\w*)\s*\(", body)))
-        verb = name.upper() in HTTP_VERBS and serves is not None
+        verb = name.upper() in HTTP_VERBS and api
         upper = name[0].isupper() and not (len(name) <= 3 and name.isupper())
         kind = "APIRoute" if verb else "ReactComponent" if typed and (markup or hooks or (upper and path.endswith("x"))) else "TSFunction" if typed else "function"
         row = t.symbol(pre, kind, name, m.start(), None, serves if verb else "client" if client and kind == "ReactComponent" else ",".join(hooks) or None, True)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Keys that list hook classes, and the mark of lists that extend others.
-HOOK_KEYS = ["authenticationHookClassNameList", "beforeLoginHookClassNameList", "onLoginHookClassNameList", "onFailHookClassNameList", "onSuccessHookClassNameList", "onLogoutHookClassNameList"]
+HOOK_KEYS = ["beforeLoginHookClassNameList", "onLoginHookClassNameList", "onFailHookClassNameList", "onSuccessHookClassNameList", "onSuccessByTokenHookClassNameList", "onSecondStepRequiredHookClassNameList"]
 APPEND = "__APPEND__"
 CLASS_NAME = r"^[A-Z][A-Za-z0-9_\\]+$"
 METADATA_PATHS = r"(/[Rr]esources/metadata/.*\.json|/Custom/Resources/.*\.json)$"
@@ -28,7 +28,7 @@ def hooks(documents: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.where(F.col("class_name") != APPEND)
+    return out.where((F.col("class_name") != APPEND) & F.col("class_name").rlike(CLASS_NAME) & F.col("class_name").contains("\\"))
 
 
 def _leaves(value, trail: str, out: list[tuple[str, str]], strings_only: bool) -> None:

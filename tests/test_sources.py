@@ -67,7 +67,8 @@ def test_script_reader():
     assert {("RENDERS", "Panel"), ("RENDERS", "Btn"), ("USES", "useState"), ("HAS_STATE", "open"), ("CALLS", "track"), ("EXTENDS", "Base"), ("HAS_PROP", "Props"), ("EXPORTS", "Card")} <= pairs(rows, "reference")
     js = X.script("/a/v.js", "define(['x/y'], function (Y) {});\nconst View = Backbone.View.extend({ render() { return 1; } });\nAjax.getRequest('Account/1');\nfetch('/api/z');\nvar q = 1;")
     assert {("CALLS_API", "Account/1"), ("CALLS_API", "/api/z"), ("IMPORTS", "x/y"), ("EXTENDS", "View")} <= pairs(js, "reference") and ("variable", "q") in pairs(js, "symbol")
-    assert X.route("/r/app/(shop)/cart/page.tsx") == "/cart" and X.route("/r/pages/api/user/index.ts") == "/api/user"
+    assert X.route("/r/app/(shop)/cart/page.tsx") == ("/cart", False) and X.route("/r/pages/api/user/index.ts") == ("/user/index", True)
+    assert X.route("/r/app/(x)/api/a/route.ts") == ("/a", True) and X.route("/r/src/a.ts") == (None, False)
     assert ("APIRoute", "GET") in pairs(X.script("/r/app/api/user/route.ts", "export async function GET(req: Request) { return 1; }"), "symbol")
 
 
@@ -97,6 +98,8 @@ def test_resolution_priorities(spark):
     )
     got = {r.ref_id: (r.target_id, r.prio) for r in R.resolve(refs, nodes).collect()}
     assert got == {"abs": ("1", 1), "imp": ("2", 2), "ns": ("1", 3), "glob": ("3", 4), "suf": ("4", 5)}
+    deep = spark.createDataFrame([("fb", "Only", None, None)], "ref_id string, name string, namespace string, imports array<string>")
+    assert [tuple(r) for r in R.resolve(deep, nodes, ["Q", "X"]).collect()] == [("fb", "4", 6)]
     ext = {r.name: r.type for r in R.externals(refs.select("ref_id", "name"), R.resolve(refs, nodes)).collect()}
     assert ext == {"m": "class", "/a/b.php": "class"}
 

@@ -420,14 +420,14 @@ def q46_impact_both(spark, d):
 
 
 @query(f"""with {N}, {E}, s as (select e.src, e.dst from e join n on n.id = e.src where e.type = 'CALLS' and n.type in ('ReactComponent', 'TSFunction')), h as (select e.src, e.dst from e join n on n.id = e.src where e.type = 'CALLS_STATIC' and n.type in ('class', 'function'))
-select a.name as caller, m.name as endpoint, b.name as handler, count(*) as n from s join h on h.dst = s.dst join n a on a.id = s.src join n m on m.id = s.dst join n b on b.id = h.src group by 1, 2, 3""")
+select m.id, m.name as endpoint, a.n as calls, b.n as handlers, a.n * b.n as chains from (select dst, count(*) as n from s group by 1) a join (select dst, count(*) as n from h group by 1) b using (dst) join n m on m.id = dst""")
 def q47_cross_language(spark, d):
     g = graph(spark, d)
-    a = P.expand1(g, "CALLS", src=F.col("s_type").isin("ReactComponent", "TSFunction")).select(F.col("s_name").alias("caller"), "t_id", F.col("t_name").alias("endpoint"))
-    b = P.expand1(g, "CALLS_STATIC", src=F.col("s_type").isin("class", "function")).select(F.col("s_name").alias("handler"), "t_id")
-    # both sides as states per (name, target): the product is made of counts, not of rows
-    x, y = _count(a, "caller", "endpoint", "t_id", name="a"), _count(b, "handler", "t_id", name="b")
-    return x.join(y, "t_id").groupBy("caller", "endpoint", "handler").agg(F.sum(F.col("a") * F.col("b")).alias("n"))
+    a = P.expand1(g, "CALLS", src=F.col("s_type").isin("ReactComponent", "TSFunction")).select(F.col("t_id").alias("id"), F.col("t_name").alias("endpoint"))
+    b = P.expand1(g, "CALLS_STATIC", src=F.col("s_type").isin("class", "function")).select(F.col("t_id").alias("id"))
+    # both sides as one state per endpoint; the chains through a hot endpoint are counted, never made
+    x, y = _count(a, "id", "endpoint", name="calls"), _count(b, "id", name="handlers")
+    return x.join(y, "id").select("id", "endpoint", "calls", "handlers", (F.col("calls") * F.col("handlers")).alias("chains"))
 
 
 @query(f"""with recursive {N}, {PE}, t(root, id, depth) as (select id, id, 0 from n where type = 'directory' and name = 'src' union all select t.root, pe.dst, t.depth + 1 from t join pe on pe.src = t.id where t.depth < 3 and pe.type = 'CONTAINS')

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.schema import EXTRACTED
+from loomgraph.session import ship
 
 Row = tuple[str, str, str | None, str | None, str | None, int, int, str | None, str | None, str | None]
 
@@ -298,6 +299,7 @@ READERS = {"php": php, "py": python, "js": script, "jsx": script, "mjs": script,
 def extract(files: DataFrame, *extensions: str) -> DataFrame:
     """(file_path, content) -> rows of ``EXTRACTED``; ``extensions`` limits the languages read. A null
     content or an unknown extension gives no rows."""
+    ship(files.sparkSession)
     readers = {k: v for k, v in READERS.items() if not extensions or k in extensions}
     ext = F.lower(F.regexp_extract("file_path", r"\.([A-Za-z0-9]+)$", 1))
     names = EXTRACTED.fieldNames()

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.session import ship
+
 # Keys that list hook classes, and the mark of lists that extend others.
 HOOK_KEYS = ["beforeLoginHookClassNameList", "onLoginHookClassNameList", "onFailHookClassNameList", "onSuccessHookClassNameList", "onSuccessByTokenHookClassNameList", "onSecondStepRequiredHookClassNameList"]
 APPEND = "__APPEND__"
@@ -64,6 +66,7 @@ def leaves(documents: DataFrame, key: str = "config_file", strings_only: bool =
                 out += [(k, t, v) for t, v in found]
             yield pd.DataFrame(out, columns=[key, "path", "value"])
 
+    ship(documents.sparkSession)
     kind = dict(documents.dtypes)[key]
     return documents.select(key, "json").mapInPandas(run, f"{key} {kind}, path string, value string")
 

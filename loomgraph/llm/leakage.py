@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.session import ship
+
 WORD = re.compile(r"[^\W_]+")
 #: Words of all items that one automaton may hold.
 MAX_ITEM_WORDS = 400_000
@@ -108,6 +110,7 @@ class Automaton:
 
 def build(items: DataFrame, min_words: int = 12, id_col: str = "item_id", text_col: str = "text") -> list[Automaton]:
     """Automata over all items, in blocks of at most ``MAX_ITEM_WORDS`` words."""
+    ship(items.sparkSession)
     rows = items.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, text_col)
     out, block, size = [], [], 0
     for item, text in rows.toLocalIterator():

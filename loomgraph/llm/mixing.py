@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomgraph.llm.text import count_tokens, norm_source, text_key
-from loomgraph.session import Cuts
+from loomgraph.session import Cuts, ship
 
 #: Bins of ranks; the last step orders one bin per source.
 RANK_BINS = 10_000
@@ -106,6 +106,7 @@ def _rates(texts: DataFrame, plan: list[dict]) -> None:
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 1, tokenizer: str | None = None, weight: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(chosen, shares): chosen (doc_id, source, tokens, repeats >= 1), and the report per source."""
     spark = documents.sparkSession
+    ship(spark)
     cuts = Cuts(spark, "mix")
     texts = cuts.write(unique_texts(documents, targets, tokenizer, weight))
     plan = _plan(texts, targets, total_tokens)

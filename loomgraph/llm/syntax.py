@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomgraph.llm import grammar_js, grammar_php, lexmap
+from loomgraph.session import ship
 
 #: Characters of a chunk; a file up to this size is one piece.
 CHUNK = 65_536
@@ -172,6 +173,7 @@ def _judge_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def verdicts(source_files: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(file_path, repo, lang, valid, why, cause) for every file with a known language and content."""
+    ship(source_files.sparkSession)
     files = current_files(source_files).where(F.col("lang").isNotNull() & F.col("content").isNotNull())
     short = files.where(F.length("content") <= chunk).mapInPandas(_judge_whole, _VERDICT)
     long = files.where(F.length("content") > chunk)

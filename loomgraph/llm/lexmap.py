@@ -29,6 +29,18 @@ _START = {
 }
 
 
+#: Words of rules that hold for a file as a whole, so that its pieces cannot be judged alone: imports that
+#: must come first, names used before ``global``, comments that only scripts have.
+FILE_RULE = {"js": re.compile(r"<!--|-->"), "php": re.compile(r"__halt_compiler", re.I), "py": re.compile(r"__future__|\bglobal\b")}
+#: Text whose brackets this lexer may see wrongly: regular expressions and JSX, strings that hold code or go
+#: on over lines, unusual line ends. Without it a valid text has a balanced summary.
+DOUBT = {
+    "js": re.compile(r"(?<![/*])/(?![/*])|\*/[ \t]*[^\s]|\\\r?\n|<!--|-->|^#!|\r(?!\n)|[\u2028\u2029]"),
+    "php": re.compile(r"\{\$|\$\{|`|<<<|__halt_compiler|<\?(?!php\b|=)|\r(?!\n)", re.I),
+    "py": re.compile(r"\b(?:[ft]r?|r[ft])['\"]|\\\r?\n|\r(?!\n)", re.I),
+}
+
+
 @dataclass(frozen=True)
 class Summary:
     """From one entry state: exit state, unmatched closers, open openers, whether the text is odd."""
@@ -44,6 +56,14 @@ def family(lang: str) -> str:
     return lang if lang in ("php", "py") else "js"
 
 
+def file_rule(lang: str, text: str) -> bool:
+    return bool(FILE_RULE[family(lang)].search(text))
+
+
+def doubtful(lang: str, text: str) -> bool:
+    return lang == "tsx" or bool(DOUBT[family(lang)].search(text))
+
+
 def states(lang: str, labels: list[str]) -> list[str]:
     return {"js": ["c", "*", "`"], "py": ["c", "'", '"'], "php": ["h", "c", "*", "s", "d", *("H:" + x for x in labels)]}[family(lang)]
 

@@ -2,22 +2,24 @@
 
 1. The current content of a file is its fetch of greatest ``fetched_at``; its extension names the
    language (PHP, Python 3, JavaScript as script or module, TypeScript, TSX).
-2. Long contents are cut into chunks of whole lines; each chunk, wherever it lies, is reduced to a
-   lexer-state map with bracket summary. The maps of a file compose associatively
-   (``lexmap.compose``), giving each chunk its entry state and depth and the file its balance.
+2. Contents are cut into chunks of whole lines (most are one chunk); each chunk, wherever it lies, is
+   reduced to a lexer-state map with bracket summary. The maps compose associatively
+   (``lexmap.compose``): first within ranges of ``RANGE`` chunks, then over a file's ranges, which
+   gives each chunk its entry state and depth and the file its balance.
 3. At statement starts outside all brackets the chunks are cut into pieces of balanced statements,
    pieces across chunk borders are put together, and each is parsed with the local grammar of the
    language. A file is valid when all its pieces are.
-4. Where the summary is odd or a piece fails, the file's own row is parsed whole, so the verdict is
-   the grammar's alone and never an artefact of a cut.
+4. Where the summary is odd or unbalanced, a piece fails, or the text may carry a rule of the file as a
+   whole (``lexmap.FILE_RULE``, as a late ``__future__`` import), the file's own row is parsed whole, so
+   the verdict is the grammar's and never an artefact of a cut.
 
-A file within one chunk, as nearly all are, is its own balanced piece and takes one pass without a
-shuffle. Python pieces go to the interpreter's own parser, so "current Python 3" is the version that
-runs the tasks; the other grammars are in ``grammar_js`` and ``grammar_php``.
+Python pieces go to the interpreter's own parser, so "current Python 3" is the version that runs the
+tasks; the other grammars are in ``grammar_js`` and ``grammar_php``.
 
 Null content or an extension of no known language gives no row in the verdicts; empty files are
-valid; nesting beyond ``MAX_DEPTH`` is left undecided and counts as valid. A null ``fetched_at``
-sorts before all times. Rows delivered twice and older fetches never matter.
+valid. Where nesting is beyond ``MAX_DEPTH`` the bracket summary decides: unbalanced in a text whose
+brackets the lexer surely sees (``lexmap.DOUBT``) is invalid, the rest counts as valid. A null
+``fetched_at`` sorts before all times. Rows delivered twice and older fetches never matter.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import re
 import sys
 import warnings
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,10 +37,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomgraph.llm import grammar_js, grammar_php, lexmap
-from loomgraph.session import ship
+from loomgraph.session import Cuts, ship
 
-#: Characters of a chunk; a file up to this size is one piece.
-CHUNK = 65_536
+#: Characters of a chunk, and chunks whose maps are composed together.
+CHUNK, RANGE = 65_536, 256
 
 # Languages by extension.
 LANGUAGES = {"php": "php", "py": "py", "js": "js", "mjs": "js", "cjs": "js", "ts": "ts", "mts": "ts", "cts": "ts", "tsx": "tsx"}
@@ -66,6 +69,11 @@ def current_files(source_files: DataFrame) -> DataFrame:
 
 def fault(lang: str, text: str, php_open: bool = False) -> str | None:
     """Why a piece does not parse, or None. ``php_open``: the piece starts inside PHP code."""
+    return _parse(lang, text, php_open)[0]
+
+
+def _parse(lang: str, text: str, php_open: bool = False) -> tuple[str | None, bool]:
+    """Why a piece does not parse, and whether it is too deep to say."""
     limit = sys.getrecursionlimit()
     sys.setrecursionlimit(max(limit, 20_000))
     try:
@@ -78,16 +86,16 @@ def fault(lang: str, text: str, php_open: bool = False) -> str | None:
         else:
             grammar_js.check(text, lang)
     except grammar_js.Bad as e:
-        return str(e)
+        return str(e), False
     except SyntaxError as e:
-        return f"{e.msg} at line {e.lineno}"
+        return f"{e.msg} at line {e.lineno}", False
     except ValueError as e:
-        return str(e)
+        return str(e), False
     except (grammar_js.Deep, RecursionError, MemoryError):
-        return None
+        return None, True
     finally:
         sys.setrecursionlimit(limit)
-    return None
+    return None, False
 
 
 def cause(lang: str, text: str, why: str) -> str:
@@ -99,7 +107,7 @@ def cause(lang: str, text: str, why: str) -> str:
     head = text.lstrip()[:200].lower()
     if head.startswith(("<!doctype", "<html")) or (lang != "php" and head.startswith("<?php")):
         return "other language"
-    if any(fault(o, text) is None for o in ("py", "js", "ts", "tsx") if o != lang) and lang != "php":
+    if any(_parse(o, text) == (None, False) for o in ("py", "js", "ts", "tsx") if o != lang) and lang != "php":
         return "other language"
     where = re.search(r"at (\d+): ''$", why)
     if where or "was never closed" in why or "unterminated" in why or "expected an indented block" in why or "EOF" in why:
@@ -110,9 +118,17 @@ def cause(lang: str, text: str, why: str) -> str:
 _VERDICT = "file_path string, repo string, lang string, valid boolean, why string, cause string"
 
 
-def _judge_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _decide(lang: str, text: str, ok: bool | None, unbalanced: str | None) -> str | None:
+    """Why a file is invalid: nothing if its pieces are sound, else what a whole parse or the summary says."""
+    if ok is True:
+        return None
+    why, deep = _parse(lang, text)
+    return unbalanced if deep else why
+
+
+def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        why = [fault(lang, text) for lang, text in zip(b["lang"], b["content"])]
+        why = [_decide(*x) for x in zip(b["lang"], b["content"], b["ok"], b["unbalanced"])]
         yield pd.DataFrame(
             {
                 "file_path": b["file_path"], "repo": b["repo"], "lang": b["lang"], "valid": [w is None for w in why], "why": why,
@@ -124,45 +140,72 @@ def _judge_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _chunks(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            out = []
             for path, lang, text in zip(b["file_path"], b["lang"], b["content"]):
                 labels = sorted(set(lexmap.LABEL.findall(text))) if lang == "php" else []
-                parts = lexmap.lines(text, size)
-                yield pd.DataFrame({"file_path": path, "lang": lang, "no": range(len(parts)), "labels": [labels] * len(parts), "text": parts})
+                out += [(path, lang, no, labels, part) for no, part in enumerate(lexmap.lines(text, size))]
+            yield pd.DataFrame(out, columns=["file_path", "lang", "no", "labels", "text"])
 
     return run
 
 
+def _dump(m: dict[str, lexmap.Summary]) -> str:
+    return json.dumps({s: (x.out, x.closers, x.openers, x.odd) for s, x in m.items()})
+
+
+def _read(m: str) -> dict[str, lexmap.Summary]:
+    return {s: lexmap.Summary(*x) for s, x in json.loads(m).items()}
+
+
+def _start(lang: str) -> str:
+    return "h" if lang == "php" else "c"
+
+
 def _maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Map of every chunk; a file's first chunk is entered in one state only."""
     for b in batches:
         out = []
-        for lang, text, labels in zip(b["lang"], b["text"], b["labels"]):
-            m = lexmap.chunk_map(lang, text, list(labels))
-            out.append(json.dumps({s: (x.out, x.closers, x.openers, x.odd) for s, x in m.items()}))
-        yield pd.DataFrame({"file_path": b["file_path"], "lang": b["lang"], "no": b["no"], "map": out})
+        for lang, no, text, labels in zip(b["lang"], b["no"], b["text"], b["labels"]):
+            out.append(_dump(lexmap.chunk_map(lang, text, list(labels)) if no else {_start(lang): lexmap.scan(lang, text, _start(lang))}))
+        yield pd.DataFrame({"file_path": b["file_path"], "lang": b["lang"], "no": b["no"], "map": out, "rule": [lexmap.file_rule(*x) for x in zip(b["lang"], b["text"])], "doubt": [lexmap.doubtful(*x) for x in zip(b["lang"], b["text"])]})
+
 
+def _composed(maps: pd.Series) -> pd.Series:
+    """One map of a run of neighbouring maps."""
+    return pd.Series([_dump(reduce(lexmap.compose, (_read(r["map"]) for r in sorted(rows, key=lambda r: r["no"])))) for rows in maps])
 
-def _entries(lang: pd.Series, maps: pd.Series) -> pd.Series:
-    """Entry state and depth of every chunk of a file, or null when its summary is odd."""
+
+def _entries(now: pd.Series, maps: pd.Series) -> pd.Series:
+    """Summary of the file before each map of a run, which starts after the summary ``now``; at -1 the one after the last."""
     out = []
-    for la, rows in zip(lang, maps):
-        now = lexmap.Summary("h" if la == "php" else "c")
-        entry = []
+    for first, rows in zip(now, maps):
+        x, entry = lexmap.Summary(*json.loads(first)), []
         for row in sorted(rows, key=lambda r: r["no"]):
-            m = {s: lexmap.Summary(*x) for s, x in json.loads(row["map"]).items()}
-            entry.append({"no": int(row["no"]), "state": now.out, "depth": len(now.openers)})
-            now = lexmap.join(now, m[now.out])
-        whole = not (now.odd or now.closers or now.openers) and now.out in ("c", "h")
-        out.append(entry if whole else None)
+            entry.append({"no": int(row["no"]), "now": json.dumps((x.out, x.closers, x.openers, x.odd))})
+            x = lexmap.join(x, _read(row["map"])[x.out])
+        out.append([*entry, {"no": -1, "now": json.dumps((x.out, x.closers, x.openers, x.odd))}])
+    return pd.Series(out)
+
+
+def _balance(lang: pd.Series, end: pd.Series) -> pd.Series:
+    """What the summary of a whole file leaves open: null if nothing, '?' if it is odd."""
+    out = []
+    for la, e in zip(lang, end):
+        x = lexmap.Summary(*json.loads(e))
+        left = x.openers[-1:] if x.openers else "" if x.out in ("c", "h") else x.out
+        out.append("?" if x.odd else f"unmatched '{x.closers[0]}'" if x.closers else f"'{left}' was never closed" if left else None)
     return pd.Series(out)
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        for path, lang, no, text, state, depth in zip(b["file_path"], b["lang"], b["no"], b["text"], b["state"], b["depth"]):
-            cuts = [o for o, rel in lexmap.scan(lang, text, state).cuts if rel + depth == 0]
+        out = []
+        for path, lang, no, text, now in zip(b["file_path"], b["lang"], b["no"], b["text"], b["now"]):
+            state, closers, openers, _ = json.loads(now)
+            cuts = {o for o, rel in lexmap.scan(lang, text, state).cuts if rel + len(openers) - len(closers) == 0}
             at = sorted({0, *cuts})
-            parts = [text[x:y] for x, y in zip(at, [*at[1:], len(text)])]
-            yield pd.DataFrame({"file_path": path, "lang": lang, "no": no, "part": range(len(parts)), "starts": [int(x in set(cuts)) for x in at], "code": [state != "h" or i > 0 for i in range(len(parts))], "text": parts})
+            out += [(path, lang, no, i, int(x in cuts), state != "h" or i > 0, text[x:y]) for i, (x, y) in enumerate(zip(at, [*at[1:], len(text)]))]
+        yield pd.DataFrame(out, columns=["file_path", "lang", "no", "part", "starts", "code", "text"])
 
 
 def _judge_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,25 +214,29 @@ def _judge_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"file_path": b["file_path"], "ok": ok})
 
 
-def verdicts(source_files: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def verdicts(source_files: DataFrame, chunk: int = CHUNK, run: int = RANGE) -> DataFrame:
     """(file_path, repo, lang, valid, why, cause) for every file with a known language and content."""
     ship(source_files.sparkSession)
+    parts_n = int(source_files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     files = current_files(source_files).where(F.col("lang").isNotNull() & F.col("content").isNotNull())
-    short = files.where(F.length("content") <= chunk).mapInPandas(_judge_whole, _VERDICT)
-    long = files.where(F.length("content") > chunk)
-    chunks = long.select("file_path", "lang", "content").mapInPandas(_chunks(chunk), "file_path string, lang string, no int, labels array<string>, text string")
-    entry_states = F.pandas_udf(_entries, "array<struct<no int, state string, depth int>>")
-    maps = chunks.mapInPandas(_maps, "file_path string, lang string, no int, map string")
-    entries = maps.groupBy("file_path", "lang").agg(F.collect_list(F.struct("no", "map")).alias("maps")).select("file_path", entry_states("lang", "maps").alias("e"))
-    placed = entries.where("e is not null").select("file_path", F.inline("e"))
+    chunks = files.select("file_path", "lang", "content").mapInPandas(_chunks(chunk), "file_path string, lang string, no int, labels array<string>, text string")
+    entries, composed, balance = F.pandas_udf(_entries, "array<struct<no int, now string>>"), F.pandas_udf(_composed, "string"), F.pandas_udf(_balance, "string")
+    maps = chunks.mapInPandas(_maps, "file_path string, lang string, no int, map string, rule boolean, doubt boolean")
+    runs = maps.groupBy("file_path", "lang", F.floor(F.col("no") / run).cast("int").alias("run")).agg(F.collect_list(F.struct("no", "map")).alias("maps"), F.max("rule").alias("rule"), F.max("doubt").alias("doubt"))
+    whole = runs.withColumn("map", composed("maps")).groupBy("file_path", "lang").agg(F.collect_list(F.struct(F.col("run").alias("no"), "map", "maps")).alias("runs"), F.max("rule").alias("rule"), F.max("doubt").alias("doubt"))
+    start = F.when(F.col("lang") == "php", '["h", "", "", false]').otherwise('["c", "", "", false]')
+    whole = whole.withColumn("at", entries(start, F.expr("transform(runs, r -> struct(r.no as no, r.map as map))")))
+    whole = whole.withColumn("open", balance("lang", F.expr("filter(at, x -> x.no = -1)[0].now")))
+    whole = Cuts(source_files.sparkSession, "syntax").write(whole)
+    by_run = whole.where("open is null and not rule").select("file_path", F.explode("runs").alias("r"), F.expr("map_from_entries(at)").alias("at"))
+    placed = by_run.select("file_path", F.inline(entries(F.expr("at[r.no]"), F.col("r.maps")))).where("no >= 0")
     parts = chunks.drop("labels").join(placed, ["file_path", "no"]).mapInPandas(_cut, "file_path string, lang string, no int, part int, starts int, code boolean, text string")
-    numbered = parts.withColumn("piece", F.sum("starts").over(W.partitionBy("file_path").orderBy("no", "part")))
+    numbered = parts.repartition(parts_n, "file_path").withColumn("piece", F.sum("starts").over(W.partitionBy("file_path").orderBy("no", "part")))
     pieces = numbered.groupBy("file_path", "lang", "piece").agg(F.sort_array(F.collect_list(F.struct("no", "part", "code", "text"))).alias("p"))
     pieces = pieces.select("file_path", "lang", F.col("p")[0]["code"].alias("code"), F.array_join(F.col("p.text"), "").alias("text"))
-    sound = pieces.mapInPandas(_judge_pieces, "file_path string, ok boolean").groupBy("file_path").agg(F.min("ok").alias("ok")).where("ok").select("file_path")
-    good = long.join(sound, "file_path", "left_semi").select("file_path", "repo", "lang", F.lit(True).alias("valid"), F.lit(None).cast("string").alias("why"), F.lit(None).cast("string").alias("cause"))
-    rest = long.join(sound, "file_path", "left_anti").mapInPandas(_judge_whole, _VERDICT)
-    return short.unionByName(good).unionByName(rest)
+    sound = pieces.mapInPandas(_judge_pieces, "file_path string, ok boolean").groupBy("file_path").agg(F.min("ok").alias("ok"))
+    unbalanced = whole.where("open is not null and open <> '?' and not doubt").select("file_path", F.col("open").alias("unbalanced"))
+    return files.join(sound, "file_path", "left").join(unbalanced, "file_path", "left").mapInPandas(_judge, _VERDICT)
 
 
 def rates(judged: DataFrame) -> DataFrame:

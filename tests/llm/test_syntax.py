@@ -130,3 +130,24 @@ def test_rates_and_causes(spark):
     r = S.rates(v).collect()[0]
     assert (r.files, r.invalid, r.rate) == (5, 4, 0.8)
     json.dumps([x.asDict() for x in S.rates(v).collect()])
+
+
+def test_rules_of_the_whole_file_hold_over_pieces(spark):
+    rows = [("/a.py", "x = 1\n" * 20 + "from __future__ import annotations\n", T0), ("/b.py", "x = 1\n" * 20 + "import a\nglobal x\n", T0), ("/c.py", "from __future__ import annotations\n" + "import a\n" * 20, T0)]
+    for chunk in (30, S.CHUNK):
+        assert {r.file_path: r.valid for r in S.verdicts(frame(spark, rows), chunk).collect()} == {"/a.py": False, "/b.py": False, "/c.py": True}
+
+
+def test_the_summary_decides_what_is_too_deep(spark):
+    rows = [("/a.js", "(" * 5000, T0), ("/b.php", "<?php " + "[" * 5000 + "]" * 4999 + ";", T0), ("/c.js", "(" * 5000 + "1" + ")" * 5000, T0), ("/d.js", "a = /x/;" + "(" * 5000, T0)]
+    got = {r.file_path: (r.valid, r.cause) for r in S.verdicts(frame(spark, rows)).collect()}
+    assert got == {"/a.js": (False, "truncated or unclosed"), "/b.php": (False, "truncated or unclosed"), "/c.js": (True, None), "/d.js": (True, None)}
+
+
+def test_short_files_go_through_pieces_and_ranges(spark, monkeypatch):
+    rows = [(f"/big{i}.{lang}", SOURCE[lang] * 3 + tail, T0) for lang in SOURCE for i, tail in enumerate(("", "\n(", "\n" + "x" * 100))]
+    df = frame(spark, [*rows, ("/one.php", SOURCE["php"], T0)])
+    verdict = lambda *a: {r.file_path: r.valid for r in S.verdicts(df, *a).collect()}
+    assert verdict(30, 2) == verdict(30, 3) == verdict(10**6)
+    monkeypatch.setattr(S, "_decide", lambda lang, text, ok, unbalanced: None if ok is True else "whole")
+    assert {p for p, v in verdict().items() if v} == {"/big0.js", "/big2.js", "/big0.py", "/big2.py", "/one.php"}

@@ -5,8 +5,9 @@ Two kinds of evidence are joined.
 *Storage limits.* The length of every text is recomputed in each unit a field might have been
 measured in (characters, UTF-8 bytes, UTF-16 units, with entities escaped, JSON-escaped, with CRLF
 line ends, without a closing ellipsis). Per source and unit the lengths are counted; a limit is a
-length that occurs far more often than its neighbours. Of several units that show a limit at a
-source, the one with the largest excess is kept, since a limit leaves weaker echoes in other units.
+length that occurs far more often than its neighbours. A limit
+leaves weaker echoes in other units: a peak is dropped when most of its texts also form a stronger
+peak in another unit. Several limits of a source are kept, whatever their units.
 
 *Endings.* The last line is judged by JVM expressions:
 
@@ -43,6 +44,8 @@ ENTRY = r"^([-*+•]|\d+[.)])\s+\S"
 _DOTS = r"\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\.\.\.|…)$"
 #: A limit has at least this many texts, and this many times the mean of the lengths around it.
 MIN_PEAK, PEAK_FACTOR, NEIGHBOURS = 5, 5, 10
+#: A peak is an echo when this share of its texts lies in a stronger one of another unit.
+ECHO_SHARE = 0.6
 #: A known word occurs in so many texts before their last word; a last word is broken when it occurs so
 #: many times less often than a known word that it begins.
 KNOWN_TEXTS, BROKEN_FACTOR = 30, 100
@@ -113,19 +116,25 @@ def endings(documents: DataFrame, *more: str) -> DataFrame:
 
 
 def limits(documents: DataFrame) -> DataFrame:
-    """(source, unit, length, n, around, open_share): limits exposed by length peaks, in each source's
-    best unit. At a limit many texts (a quarter at least) must also end open: a length that is merely frequent, as of one
+    """(source, unit, length, n, around, open_share): limits exposed by length peaks, each in its best
+    unit. At a limit many texts (a quarter at least) must also end open: a length that is merely frequent, as of one
     text collected many times, is none."""
+    ends = endings(documents, "units")
     lengths = (
-        endings(documents, "units").select("source", "ending", F.explode("units").alias("unit", "length"))
+        ends.select("source", "ending", F.explode("units").alias("unit", "length"))
         .groupBy("source", "unit", "length").agg(F.count("*").alias("n"), F.count(F.when(F.col("ending") == "open", 1)).alias("n_open"))
     )
     near = W.partitionBy("source", "unit").orderBy("length").rangeBetween(-NEIGHBOURS, NEIGHBOURS)
     peaks = lengths.withColumn("around", (F.sum("n").over(near) - F.col("n")) / (2 * NEIGHBOURS)).where(
         (F.col("n") >= MIN_PEAK) & (F.col("n") >= PEAK_FACTOR * F.col("around") + 2) & (4 * F.col("n_open") >= F.col("n"))
     )
-    best = peaks.groupBy("source", "unit").agg(F.sum(F.col("n") - F.col("around")).alias("excess")).groupBy("source").agg(F.max(F.struct("excess", F.expr("unit = 'chars'"), "unit")).alias("b"))
-    return peaks.join(best.select("source", F.col("b.unit").alias("unit")), ["source", "unit"]).select(
+    strength = F.struct((F.col("n") - F.col("around")).alias("excess"), F.expr("unit = 'chars'").alias("plain"), "unit", "length")
+    peaks = Cuts(documents.sparkSession, "limits").write(peaks.withColumn("strength", strength))
+    at = ends.select("doc_id", "source", F.explode("units").alias("unit", "length")).join(F.broadcast(peaks.select("source", "unit", "length", "strength")), ["source", "unit", "length"]).select("doc_id", "source", "strength").distinct()
+    own = at.groupBy("source", "strength").agg(F.count("*").alias("docs"))
+    pairs = at.join(at.select("doc_id", "source", F.col("strength").alias("other")), ["doc_id", "source"]).where("other > strength and other.unit <> strength.unit")
+    echoes = pairs.groupBy("source", "strength", "other").agg(F.count("*").alias("both")).join(own, ["source", "strength"]).where(F.col("both") >= ECHO_SHARE * F.col("docs")).select("source", "strength").distinct()
+    return peaks.join(echoes, ["source", "strength"], "left_anti").select(
         "source", "unit", "length", "n", F.round("around", 6).alias("around"), F.round(F.col("n_open") / F.col("n"), 6).alias("open_share")
     )
 

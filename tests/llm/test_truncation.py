@@ -50,3 +50,14 @@ def test_cut_inside_word_and_closing_line(spark):
     rows += [(200 + i, f"Text {i}.\n\n-- the indexing crew", "s") for i in range(40)] + [(300, "Text.\n\n-- the index", "s")]
     got = {r.doc_id: r.reason for r in T.cuts(frame(spark, rows)).collect()}
     assert set(got) == {100, 300} and set(got.values()) <= {"inside a word", "inside a closing line"}
+
+
+def test_two_limits_of_one_source_in_two_units(spark):
+    rows = [(i, ("word " * 60)[: 10 + i * 3 if i % 2 else 200].rstrip() + "z" * (0 if i % 2 else 200 - len(("word " * 60)[:200].rstrip())), "s") for i in range(90)]
+    for i in range(40):
+        t = "é" * (5 + i) + "word " * 80
+        while len(t.encode()) > 300:
+            t = t[:-1]
+        rows.append((500 + i, t if not t.endswith(" ") else t[:-1] + "q", "s"))
+    got = {(r.unit, r.length) for r in T.limits(frame(spark, rows)).collect()}
+    assert got == {("chars", 200), ("utf8", 300)}

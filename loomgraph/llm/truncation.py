@@ -159,14 +159,15 @@ def _shape(line: str = "last_line"):
 def _begun(lines: DataFrame, col: str) -> DataFrame:
     """Values of ``col`` (with counts ``n``) that are a proper prefix of a far more frequent value."""
     often = lines.where((F.col("n") >= LINE_FACTOR) & (F.length(col) > 1))
-    parts = often.select("n", F.explode(F.expr(f"transform(sequence(1, length({col}) - 1), i -> rtrim(substring({col}, 1, i)))")).alias(col))
+    sizes = lines.agg(F.collect_set(F.length(col)).alias("sizes"))
+    parts = often.crossJoin(F.broadcast(sizes)).select("n", col, F.explode(F.expr(f"filter(sizes, i -> i < length({col}))")).alias("i")).select("n", F.expr(f"substring({col}, 1, i)").alias(col))
     parts = parts.groupBy(col).agg(F.max("n").alias("of"))
     return lines.join(parts, col).where(F.col("of") >= LINE_FACTOR * F.col("n")).select(col)
 
 
 def _cut_lines(weak: DataFrame) -> DataFrame:
     """Closing lines (signatures, references) that are cut, by themselves or by their shape."""
-    lines = weak.where((F.length("last_line") <= 64) & ~F.col("last_line").rlike(ENTRY)).groupBy("last_line").agg(F.count("*").alias("n"))
+    lines = weak.where(~F.col("last_line").rlike(ENTRY)).groupBy("last_line").agg(F.count("*").alias("n"))
     shaped = lines.withColumn("shape", _shape())
     shapes = shaped.groupBy("shape").agg(F.sum("n").alias("n"))
     return _begun(lines, "last_line").unionByName(shaped.join(_begun(shapes, "shape"), "shape", "left_semi").select("last_line")).distinct()

@@ -61,3 +61,9 @@ def test_two_limits_of_one_source_in_two_units(spark):
         rows.append((500 + i, t if not t.endswith(" ") else t[:-1] + "q", "s"))
     got = {(r.unit, r.length) for r in T.limits(frame(spark, rows)).collect()}
     assert got == {("chars", 200), ("utf8", 300)}
+
+
+def test_long_closing_lines(spark):
+    line = "See https://docs.example.invalid/" + "handbook/" * 9 + "page"
+    rows = [(i, f"Text {i}.\n\n{line}", "s") for i in range(40)] + [(100, f"Text.\n\n{line[:90]}", "s")]
+    assert {r.doc_id: r.reason for r in T.cuts(frame(spark, rows)).collect()} == {100: "inside a closing line"}

@@ -20,7 +20,9 @@ An open ending is a cut. A weak ending is one if the text has exactly the length
 source, or stops inside a word (its last word hardly occurs inside texts and begins known ones), or
 inside a customary closing line (it, or its shape, is a proper prefix of a far more frequent one). A list
 entry is open when the entry before it ends with a stop, when it is one word below longer entries, or
-when it breaks off after a sentence. A whole ending is none, at any length.
+when it breaks off after a sentence. A whole ending is a cut only at exactly the length of a limit, and
+there by a stricter test: a bracket, quote, tag or semicolon that closes no sentence of prose, or a dot
+of an abbreviation or of a token that goes on behind it more often than not.
 
 Null and empty texts are never cut; null sources form one source. Texts are judged row by row, so
 repeated rows get the same result. All counts run over all documents.
@@ -40,6 +42,9 @@ ENUMERATION_ENDS = ["and so on", "and so forth", "and more", "etc", "et cetera",
 # Words that open a reference line.
 REFERENCE_WORDS = ["Refs", "Ref", "Fixes", "Closes", "Resolves", "See", "Related", "Signed-off-by", "Reviewed-by", "Cc"]
 
+# Abbreviations that no sentence ends with.
+ABBREVIATIONS = ["e.g", "i.e", "cf", "vs", "viz", "bzw", "z.B", "d.h", "p. ej"]
+
 ENTRY = r"^([-*+•]|\d+[.)])\s+\S"
 _DOTS = r"\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\.\.\.|…)$"
 #: A limit has at least this many texts, and this many times the mean of the lengths around it.
@@ -51,6 +56,9 @@ ECHO_SHARE = 0.6
 KNOWN_TEXTS, BROKEN_FACTOR = 30, 100
 #: A closing line or its shape is broken when a longer one that it begins is so many times as frequent.
 LINE_FACTOR = 10
+#: A dot lies inside a known token when so many texts go on behind it, and more than end the token there.
+KNOWN_TOKENS = 2
+_TOKEN = r"[\p{L}\p{N}_][\p{L}\p{N}_./-]*"
 
 
 def _count(c: Column, piece: str) -> Column:
@@ -112,6 +120,10 @@ def endings(documents: DataFrame, *more: str) -> DataFrame:
         .when(heading & (F.instr(c, "\n") == 0), "weak")
         .otherwise("open")
     )
+    prose = line.rlike(r"(?<!\p{L})(?:\p{L}{2,}+,? ){3}") & ~entry & ~row & ~block & ~in_fence
+    closed = prose & line.rlike(r"[;}\])\"”»>]$") & ~stop & ~line.rlike(r"(</[\w.:-]+>|/>|-->)$")
+    d = d.withColumn("closed", closed | line.rlike(r"(?i)\b(" + "|".join(x.replace(".", r"\.") for x in ABBREVIATIONS) + r")\.$"))
+    d = d.withColumn("dotted", F.regexp_extract(line, r"(?<![\p{L}\p{N}_./-])(" + _TOKEN + r"(?<!\.)\.)$", 1))
     return d.select("doc_id", "source", kind.alias("ending"), "last_line", F.regexp_extract(line, r"([\p{L}]+)$", 1).alias("last_word"), *more)
 
 
@@ -151,6 +163,17 @@ def _cut_words(documents: DataFrame, weak: DataFrame) -> DataFrame:
     return last.join(begun, "w").join(vocab, "w", "left").where(F.coalesce("n", F.lit(0)) * BROKEN_FACTOR <= F.col("of")).select(F.col("w").alias("last_word"))
 
 
+def _cut_tokens(documents: DataFrame, ends: DataFrame) -> DataFrame:
+    """Last tokens with a dot (``foo.`` of ``foo.py``) behind which the texts go on more often than not."""
+    last = ends.where("dotted != ''").select("dotted").distinct()
+    inside = F.regexp_replace("text", r"(?<![\p{L}\p{N}_./-])" + _TOKEN + r"+\s*$", "")
+    tokens = documents.where(F.col("text").isNotNull()).select(F.explode(F.array_distinct(F.regexp_extract_all(inside, F.lit("(" + _TOKEN + ")"), F.lit(1)))).alias("t")).where("contains(t, '.')")
+    tokens = tokens.groupBy("t").agg(F.count("*").alias("n"))
+    parts = tokens.select("t", "n", F.explode(F.expr(r"transform(sequence(1, size(split(t, '[.]')) - 1), i -> substring_index(t, '.', i) || '.')")).alias("dotted"))
+    parts = parts.join(last, "dotted", "left_semi").groupBy("dotted").agg(F.sum(F.when(F.col("t") == F.col("dotted"), 0).otherwise(F.col("n"))).alias("on"), F.sum(F.when(F.col("t") == F.col("dotted"), F.col("n")).otherwise(0)).alias("off"))
+    return parts.where((F.col("on") >= KNOWN_TOKENS) & (F.col("on") > F.col("off"))).select("dotted")
+
+
 def _shape(line: str = "last_line"):
     """Form of a closing line: words as ``a``, numbers as ``9``, marks as they are."""
     return F.regexp_replace(F.regexp_replace(line, r"\p{L}+", "a"), r"\d+", "9")
@@ -176,17 +199,20 @@ def _cut_lines(weak: DataFrame) -> DataFrame:
 def cuts(documents: DataFrame) -> DataFrame:
     """(doc_id, source, reason) of every text that was cut."""
     store = Cuts(documents.sparkSession, "truncation")
-    ends = store.write(endings(documents, "units").where("ending != 'whole'"))
+    ends = store.write(endings(documents, "units", "closed", "dotted").where("ending != 'whole' or closed or dotted != ''"))
     weak = ends.where("ending = 'weak'")
     found = limits(documents).select("source", "unit", "length")
-    at = ends.select("doc_id", "source", F.explode("units").alias("unit", "length")).join(found, ["source", "unit", "length"], "left_semi").select("doc_id").distinct()
+    at = store.write(ends.select("doc_id", "source", F.explode("units").alias("unit", "length")).join(found, ["source", "unit", "length"], "left_semi").select("doc_id").distinct())
+    whole = ends.where("ending = 'whole'").join(at, "doc_id", "left_semi")
     judged = (
-        ends.drop("units").join(at.withColumn("at_limit", F.lit(True)), "doc_id", "left")
+        ends.where("ending != 'whole'").unionByName(whole).drop("units").join(at.withColumn("at_limit", F.lit(True)), "doc_id", "left")
         .join(_cut_words(documents, weak).withColumn("in_word", F.lit(True)), "last_word", "left")
         .join(_cut_lines(weak).withColumn("in_line", F.lit(True)), "last_line", "left")
+        .join(_cut_tokens(documents, whole).withColumn("in_token", F.lit(True)), "dotted", "left")
     )
     reason = (
         F.when(F.col("ending") == "open", F.when(F.col("at_limit"), "open ending at a limit").otherwise("open ending"))
+        .when(F.col("ending") == "whole", F.when(F.col("closed"), "inside a sentence at a limit").when(F.col("in_token"), "inside a token at a limit"))
         .when(F.col("at_limit"), "entry at a limit")
         .when(F.col("in_line"), "inside a closing line")
         .when(F.col("in_word"), "inside a word")

@@ -67,3 +67,13 @@ def test_long_closing_lines(spark):
     line = "See https://docs.example.invalid/" + "handbook/" * 9 + "page"
     rows = [(i, f"Text {i}.\n\n{line}", "s") for i in range(40)] + [(100, f"Text.\n\n{line[:90]}", "s")]
     assert {r.doc_id: r.reason for r in T.cuts(frame(spark, rows)).collect()} == {100: "inside a closing line"}
+
+
+def test_whole_endings_at_a_limit(spark):
+    fill = lambda end: ("We keep the words " * 20)[: 200 - len(end)].rstrip().ljust(200 - len(end), "w") + end
+    rows = [(i, fill(f" sto{i}x"), "s") for i in range(30)] + [(100 + i, f"The file foo.py is read {i} times.", "s") for i in range(5)]
+    ends = [" in the list (of names)", ' the name "a"', " list; of;", " in foo.", " as e.g."]
+    rows += [(200 + i, fill(x), "s") for i, x in enumerate(ends)] + [(300, fill(" that ends."), "s"), (301, fill(" (that ends.)"), "s")]
+    rows += [(400 + i, "w" + fill(x), "s") for i, x in enumerate(ends)]
+    got = {r.doc_id for r in T.cuts(frame(spark, rows)).collect()}
+    assert got == {*range(30), *range(200, 205)}

@@ -16,18 +16,17 @@ class Deep(Exception):
     """Nesting beyond ``MAX_DEPTH``: nothing is said about the text."""
 
 
-#: Nesting that a piece may have; the interpreter's stack bounds it.
-MAX_DEPTH = 400
+#: Nesting that a piece may have; memory for the parser's frames bounds it, and what is deeper stays undecided.
+MAX_DEPTH = 2_000
 
 _ID = r"(?:[^\W\d]|[$\\]|(?<=\\)u)[\w$\u200c\u200d\\]*"
-_TOKEN = re.compile(
-    rf"""(?P<num>0[xX][\da-fA-F_]+n?|0[oO][0-7_]+n?|0[bB][01_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?n?(?![\w$]))
+_TOKEN = rf"""(?P<num>0[xX][\da-fA-F_]+n?|0[oO][0-7_]+n?|0[bB][01_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?n?(?![\w$]))
     |(?P<id>\#?{_ID})
     |(?P<str>"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*')
-    |(?P<p>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|\*\*|[{{}}()\[\];,<>+\-*/%&|^!~?:=.@`])""",
-    re.X,
-)
+    |(?P<p>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|\*\*|[{{}}()\[\];,<>+\-*/%&|^!~?:=.@`])"""
 _SKIP = re.compile(r"(?:[\s\ufeff]+|//[^\n\r\u2028\u2029]*|/\*[\s\S]*?\*/)*")
+#: Blanks and comments, then a token if there is one.
+_NEXT = re.compile(_SKIP.pattern + "(?:" + _TOKEN + ")?", re.X)
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[a-zA-Z]*")
 _TEXT = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")
 _JSX_NAME = re.compile(r"[^\W\d][\w$.:-]*")
@@ -48,6 +47,8 @@ class Grammar:
         self.pos = self.end = 0
         self.depth = self.fn = self.loop = self.switch = 0
         self.gen = self.asyn = False
+        self.ahead: dict[int, bool] = {}
+        self.rare = any(c in text for c in "\r\u2028\u2029")
         if text.startswith("#!"):
             self.end = (text + "\n").index("\n")
         self.step()
@@ -57,19 +58,23 @@ class Grammar:
         return Bad(f"{why} at {self.pos}: {self.s[self.pos:self.pos + 20]!r}")
 
     def step(self) -> None:
-        self.last_end = self.end
-        at = _SKIP.match(self.s, self.end).end()
-        self.nl = at == 0 or any(c in self.s[self.end : at] for c in "\n\r\u2028\u2029")
-        self.pos = at
-        if at >= len(self.s):
-            self.kind, self.v, self.end = "eof", "", at
+        from_ = self.last_end = self.end
+        s = self.s
+        m = _NEXT.match(s, from_)
+        kind, self.end = m.lastgroup, m.end()
+        v = m[kind] if kind else ""
+        self.pos = at = self.end - len(v)
+        self.nl = at == 0 if at == from_ else at == 0 or s.find("\n", from_, at) >= 0 or (self.rare and any(c in s[from_:at] for c in "\r\u2028\u2029"))
+        if not kind:
+            if at < len(s):
+                raise self.bad("no token")
+            self.kind, self.v = "eof", ""
             return
-        m = _TOKEN.match(self.s, at)
-        if not m or (self.s[at] == "/" and self.s[at + 1 : at + 2] == "*"):
+        if v == "/" and s.startswith("*", at + 1):
             raise self.bad("no token")
-        self.kind, self.v, self.end = m.lastgroup, m.group(), m.end()
-        if self.kind == "id" and "\\" in self.v and not re.fullmatch(r"(?:[^\\]|\\u[\da-fA-F]{4}|\\u\{[\da-fA-F]+\})+", self.v):
-            if "\\u{" not in self.s[at : at + len(self.v) + 1]:
+        self.kind, self.v = kind, v
+        if kind == "id" and "\\" in v and not re.fullmatch(r"(?:[^\\]|\\u[\da-fA-F]{4}|\\u\{[\da-fA-F]+\})+", v):
+            if "\\u{" not in s[at : at + len(v) + 1]:
                 raise self.bad("escape")
 
     def save(self):
@@ -967,21 +972,26 @@ class Grammar:
 
     def arrow_ahead(self) -> bool:
         """From ``(``: does the matching ``)`` come before ``=>`` (or ``:`` in TypeScript)?"""
-        st, depth = self.save(), 0
+        if self.pos in self.ahead:
+            return self.ahead[self.pos]
+        st, open_ = self.save(), []
         try:
-            while True:
+            while True:  # what the pass tells of brackets inside is kept, so nesting costs no more
                 if self.kind == "eof":
+                    self.ahead |= dict.fromkeys(open_, False)
                     return False
                 if self.kind == "p":
                     if self.v == "`":
                         return True  # a template inside: let the attempt decide
                     if self.v in "([{":
-                        depth += 1
+                        open_.append(self.pos)
                     elif self.v in ")]}":
-                        depth -= 1
-                        if not depth:
-                            self.step()
-                            return self.v == "=>" or (self.ts and self.v == ":")
+                        at = open_.pop()
+                        self.step()
+                        self.ahead[at] = self.v == "=>" or (self.ts and self.v == ":")
+                        if not open_:
+                            return self.ahead[at]
+                        continue
                 self.step()
         except Bad:
             return True

@@ -9,16 +9,16 @@ import re
 
 from loomgraph.llm.grammar_js import MAX_DEPTH, Bad, Deep
 
-_TOKEN = re.compile(
-    r"""(?P<num>0[xX][\da-fA-F]+(?:_[\da-fA-F]+)*|0[bB][01]+(?:_[01]+)*|0[oO][0-7]+(?:_[0-7]+)*|(?:\d+(?:_\d+)*)?\.\d+(?:_\d+)*(?:[eE][+-]?\d+)?|\d+(?:_\d+)*\.?(?:[eE][+-]?\d+)?)
+_TOKEN = r"""(?P<shut>\?>)
+    |(?P<num>0[xX][\da-fA-F]+(?:_[\da-fA-F]+)*|0[bB][01]+(?:_[01]+)*|0[oO][0-7]+(?:_[0-7]+)*|(?:\d+(?:_\d+)*)?\.\d+(?:_\d+)*(?:[eE][+-]?\d+)?|\d+(?:_\d+)*\.?(?:[eE][+-]?\d+)?)
     |(?P<var>\$[^\W\d]\w*)
     |(?P<id>\\?[^\W\d]\w*(?:\\[^\W\d]\w*)*(?:\\(?=\s*\{))?)
     |(?P<str>[bB]?'(?:[^'\\]|\\[\s\S])*')
     |(?P<cast>\(\s*(?i:int|integer|bool|boolean|float|double|real|string|binary|array|object|unset)\s*\))
-    |(?P<p><<<|\?->|\?\?=|\.\.\.|<=>|===|!==|\*\*=|<<=|>>=|=>|->|::|==|!=|<>|<=|>=|&&|\|\||\?\?|\+\+|--|\+=|-=|\*=|/=|\.=|%=|&=|\|=|\^=|<<|>>|\*\*|\#\[|[{}()\[\];,<>+\-*/%&|^!~?:=.@$`"])""",
-    re.X,
-)
+    |(?P<p><<<|\?->|\?\?=|\.\.\.|<=>|===|!==|\*\*=|<<=|>>=|=>|->|::|==|!=|<>|<=|>=|&&|\|\||\?\?|\+\+|--|\+=|-=|\*=|/=|\.=|%=|&=|\|=|\^=|<<|>>|\*\*|\#\[|[{}()\[\];,<>+\-*/%&|^!~?:=.@$`"])"""
 _SKIP = re.compile(r"(?:\s+|(?://|#(?!\[))(?:(?!\?>)[^\n\r])*|/\*[\s\S]*?\*/)*")
+#: Blanks and comments, then a token if there is one.
+_NEXT = re.compile(_SKIP.pattern.replace("#", r"\#") + "(?:" + _TOKEN + ")?", re.X)
 _OPEN = re.compile(r"<\?(?:php(?=\s|$)|=)", re.I)
 _HEREDOC = re.compile(r"<<<[ \t]*(?:(['\"]?)([^\W\d]\w*)\1)\r?\n")
 
@@ -48,19 +48,19 @@ class Grammar:
         self.echo = bool(m and m.group() == "<?=")
 
     def step(self) -> None:
-        at = _SKIP.match(self.s, self.end).end()
-        self.pos = at
-        if self.s.startswith("?>", at):
-            self.kind, self.v, self.end = "p", "?>", at + 2
-            return
-        if at >= len(self.s):
-            self.kind, self.v, self.w, self.end = "eof", "", "", at
+        m = _NEXT.match(self.s, self.end)
+        kind, self.end = m.lastgroup, m.end()
+        v = m[kind] if kind else ""
+        self.pos = at = self.end - len(v)
+        if not kind:
+            if at < len(self.s):
+                raise self.bad("no token")
+            self.kind, self.v, self.w = "eof", "", ""
             return
-        m = _TOKEN.match(self.s, at)
-        if not m or self.s.startswith("/*", at):
+        if v == "/" and self.s.startswith("*", at + 1):
             raise self.bad("no token")
-        self.kind, self.v, self.end = m.lastgroup, m.group(), m.end()
-        self.w = self.v.lower() if self.kind == "id" else self.v
+        self.kind, self.v = ("p" if kind == "shut" else kind), v
+        self.w = v.lower() if kind == "id" else v
 
     w = ""
     echo = False

@@ -8,7 +8,9 @@ inline text before PHP code, ``s``/``d`` PHP strings over lines, ``'``/``"`` Pyt
 ``H:label`` a PHP heredoc (labels are the ones the file opens).
 
 Inside a chunk, ``cuts`` are line starts that begin a statement on their own wherever no bracket is
-open, with the bracket depth relative to the chunk's start.
+open, with the bracket depth relative to the chunk's start. Whether a line begins a statement also
+depends on what stands before it (a stop or a closing brace; for Python no decorator); where that lies
+in an earlier chunk, the cut is *conditional* on the summary's ``last``, which composes like the rest.
 """
 
 from __future__ import annotations
@@ -19,19 +21,27 @@ from dataclasses import dataclass, field
 LABEL = re.compile(r"<<<[ \t]*['\"]?([^\W\d]\w*)")
 PAIRS = {")": "(", "]": "[", "}": "{", "`": "`"}
 
-_JS = re.compile(r"//[^\n]*|(?P<o>/\*)|'(?:[^'\\\n]|\\[\s\S])*'|\"(?:[^\"\\\n]|\\[\s\S])*\"|(?P<t>`)|(?P<b>[{}()\[\]])|(?P<r>(?<![\w)\]}$.\s])\s*/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/)|(?P<n>\n)")
-_PHP = re.compile(r"(?://|#(?!\[))(?:(?!\?>)[^\n])*|(?P<o>/\*)|(?P<q>['\"])|(?P<h><<<[ \t]*(['\"]?)(?P<l>[^\W\d]\w*)\4\r?\n)|(?P<e>\?>)|(?P<b>[{}()\[\]])|(?P<n>\n)")
-_PY = re.compile(r"#[^\n]*|(?P<m>'''|\"\"\")|'(?:[^'\\\n]|\\[\s\S])*'|\"(?:[^\"\\\n]|\\[\s\S])*\"|(?P<b>[{}()\[\]])|(?P<n>\n)")
+_WORDS = {
+    "js": r"(?:export|import|class|function|const|let|var|interface|type|enum|abstract|declare|async function)\b",
+    "php": r"(?:namespace|use|abstract|final|class|interface|trait|enum|function)\b",
+    "py": r"[^\s#)\]}]",
+}
+_JS = re.compile(r"//[^\n]*|(?P<o>/\*)|'(?:[^'\\\n]|\\[\s\S])*'|\"(?:[^\"\\\n]|\\[\s\S])*\"|(?P<t>`)|(?P<b>[{}()\[\]])|(?P<r>(?<![\w)\]}$.\s])\s*/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/)|(?P<n>\n(?=" + _WORDS["js"] + "))")
+_PHP = re.compile(r"(?://|#(?!\[))(?:(?!\?>)[^\n])*|(?P<o>/\*)|(?P<q>['\"])|(?P<h><<<[ \t]*(['\"]?)(?P<l>[^\W\d]\w*)\4\r?\n)|(?P<e>\?>)|(?P<b>[{}()\[\]])|(?P<n>\n(?=" + _WORDS["php"] + "))")
+_PY = re.compile(r"#[^\n]*|(?P<m>'''|\"\"\")|'(?:[^'\\\n]|\\[\s\S])*'|\"(?:[^\"\\\n]|\\[\s\S])*\"|(?P<b>[{}()\[\]])|(?P<n>\n(?=" + _WORDS["py"] + "))")
 _START = {
-    "js": re.compile(r"(?:export|import|class|function|const|let|var|interface|type|enum|abstract|declare|async function)\b"),
-    "php": re.compile(r"(?:namespace|use|abstract|final|class|interface|trait|enum|function)\b"),
-    "py": re.compile(r"(?:def|class|import|from|async def)\b|@|[A-Z_]+\s*="),
+    "js": re.compile(_WORDS["js"]),
+    "php": re.compile(_WORDS["php"]),
+    "py": re.compile(r"(?:def|class|import|from|async def)\b|[A-Z_]+\s*="),
 }
+_ENTER = re.compile(r"<\?(?:php\b|=)", re.I)
+_TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)?")
+_UNTIL = {q: re.compile(r"(?:[^\\]|\\[\s\S])*?" + q) for q in ("'", '"', "'" * 3, '"' * 3)}
 
 
 #: Words of rules that hold for a file as a whole, so that its pieces cannot be judged alone: imports that
 #: must come first, names used before ``global``, comments that only scripts have.
-FILE_RULE = {"js": re.compile(r"<!--|-->"), "php": re.compile(r"__halt_compiler", re.I), "py": re.compile(r"__future__|\bglobal\b")}
+FILE_RULE = {"js": re.compile(r"<!--|-->"), "php": re.compile(r"__halt_compiler|\bend(?:if|for|foreach|while|switch|declare)\b", re.I), "py": re.compile(r"__future__|\bglobal\b|\\\r?\n")}
 #: Text whose brackets this lexer may see wrongly: regular expressions and JSX, strings that hold code or go
 #: on over lines, unusual line ends. Without it a valid text has a balanced summary.
 DOUBT = {
@@ -43,13 +53,15 @@ DOUBT = {
 
 @dataclass(frozen=True)
 class Summary:
-    """From one entry state: exit state, unmatched closers, open openers, whether the text is odd."""
+    """From one entry state: exit state, unmatched closers, open openers, whether the text is odd, and the
+    last significant character (``@`` for Python: a decorator waits) or nothing if the text has none."""
 
     out: str
     closers: str = ""
     openers: str = ""
     odd: bool = False
-    cuts: tuple[tuple[int, int], ...] = field(default=(), compare=False)
+    last: str = ""
+    cuts: tuple[tuple[int, int, bool], ...] = field(default=(), compare=False)
 
 
 def family(lang: str) -> str:
@@ -80,20 +92,44 @@ def scan(lang: str, text: str, state: str) -> Summary:
     kind = family(lang)
     rx = {"js": _JS, "php": _PHP, "py": _PY}[kind]
     at, closers, openers, odd, cuts, size = 0, "", "", False, [], len(text)
-    decorated = False
+    starts, notes = _START[kind], {}  # notes: end of a comment -> its start
+    opened, decorator, seen = 0, None, False
+
+    def before(i: int) -> str:
+        """The last significant character before ``i``, or nothing."""
+        while True:
+            while i and text[i - 1].isspace():
+                i -= 1
+            if not i or i not in notes:
+                return text[i - 1 : i]
+            i = notes[i]
 
     def line(i: int) -> None:
-        nonlocal decorated
-        m = _START[kind].match(text, i)
-        if m and not decorated:
-            cuts.append((i, len(openers) - len(closers)))
-        decorated = kind == "py" and text.startswith("@", i)
+        nonlocal decorator, seen
+        if kind != "py":
+            if starts.match(text, i):
+                c = before(i)
+                if not c or c in ";}":
+                    cuts.append((i, len(openers) - len(closers), not c))
+            return
+        c = text[i : i + 1]
+        if not c or c in " \t\r\n\f#)]}":
+            return
+        depth = len(openers) - len(closers)
+        if decorator is not None:
+            decorator = None if depth == decorator and c != "@" else decorator
+        elif c == "@":
+            decorator = depth
+            cuts.append((i, depth, not seen))
+        elif starts.match(text, i):
+            cuts.append((i, depth, not seen))
+        seen = True
 
     if state == "c":
         line(0)
     while at < size:
         if state == "h":
-            m = re.compile(r"<\?(?:php\b|=)", re.I).search(text, at)
+            m = _ENTER.search(text, at)
             if not m:
                 break
             at, state = m.end(), "c"
@@ -102,13 +138,14 @@ def scan(lang: str, text: str, state: str) -> Summary:
             if e < 0:
                 break
             at, state = e + 2, "c"
+            notes[at] = opened
         elif state in ("'", '"') and kind == "py":
-            m = re.compile(r"(?:[^\\]|\\[\s\S])*?" + state * 3).match(text, at)
+            m = _UNTIL[state * 3].match(text, at)
             if not m:
                 break
             at, state = m.end(), "c"
         elif state in ("s", "d"):
-            m = re.compile(r"(?:[^\\]|\\[\s\S])*?" + ("'" if state == "s" else '"')).match(text, at)
+            m = _UNTIL["'" if state == "s" else '"'].match(text, at)
             if not m:
                 break
             at, state = m.end(), "c"
@@ -118,7 +155,7 @@ def scan(lang: str, text: str, state: str) -> Summary:
                 break
             at, state = m.end(), "c"
         elif state == "`":
-            m = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)?").match(text, at)
+            m = _TEMPLATE.match(text, at)
             at = m.end()
             if m.group(1) == "`":
                 closers, openers, bad = _match(closers, openers, "`")
@@ -134,8 +171,11 @@ def scan(lang: str, text: str, state: str) -> Summary:
             if not m:
                 break
             at, g = m.end(), m.lastgroup
-            if g == "o":
-                state = "*"
+            if g is None:
+                if text[m.start()] in "/#":
+                    notes[at] = m.start()
+            elif g == "o":
+                state, opened = "*", m.start()
             elif g == "t":
                 openers, state = openers + "`", "`"
             elif g == "m":
@@ -144,7 +184,7 @@ def scan(lang: str, text: str, state: str) -> Summary:
                 state = "s" if m.group() == "'" else "d"
             elif g == "e":
                 state = "h"
-            elif m.groupdict().get("h"):
+            elif g == "h":
                 state = "H:" + m.group("l")
             elif g == "n":
                 line(at)
@@ -157,7 +197,11 @@ def scan(lang: str, text: str, state: str) -> Summary:
                     closers, openers, bad = _match(closers, openers, b)
                     odd |= bad
                     state = "`" if resume else state
-    return Summary(state, closers, openers, odd, tuple(cuts))
+    if kind == "py":
+        last = "@" if decorator is not None else ";" if seen else ""
+    else:
+        last = before(size if state != "*" else opened)
+    return Summary(state, closers, openers, odd, last, tuple(cuts))
 
 
 def chunk_map(lang: str, text: str, labels: list[str]) -> dict[str, Summary]:
@@ -170,7 +214,7 @@ def join(a: Summary, b: Summary) -> Summary:
         odd |= c == "}" and openers.endswith("$")  # a template resumed: b's map did not know
         closers, openers, bad = _match(closers, openers, c)
         odd |= bad
-    return Summary(b.out, closers, openers + b.openers, odd)
+    return Summary(b.out, closers, openers + b.openers, odd, b.last or a.last)
 
 
 def compose(a: dict[str, Summary], b: dict[str, Summary]) -> dict[str, Summary]:

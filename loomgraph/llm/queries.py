@@ -19,7 +19,7 @@ def p2_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return syntax.verdicts(load(spark, d, "source_files")).where("not valid").select("file_path")
+    return syntax.verdicts(load(spark, d, "source_files"), with_cause=False).where("not valid").select("file_path")
 
 
 def p5_causes(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +27,7 @@ def p5_causes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_rates(spark: SparkSession, d: str) -> DataFrame:
-    return syntax.rates(syntax.verdicts(load(spark, d, "source_files")))
+    return syntax.rates(syntax.verdicts(load(spark, d, "source_files"), with_cause=False))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

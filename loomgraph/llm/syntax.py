@@ -2,24 +2,25 @@
 
 1. The current content of a file is its fetch of greatest ``fetched_at``; its extension names the
    language (PHP, Python 3, JavaScript as script or module, TypeScript, TSX).
-2. Contents are cut into chunks of whole lines (most are one chunk); each chunk, wherever it lies, is
-   reduced to a lexer-state map with bracket summary. The maps compose associatively
-   (``lexmap.compose``): first within ranges of ``RANGE`` chunks, then over a file's ranges, which
-   gives each chunk its entry state and depth and the file its balance.
-3. At statement starts outside all brackets the chunks are cut into pieces of balanced statements,
-   pieces across chunk borders are put together, and each is parsed with the local grammar of the
-   language. A file is valid when all its pieces are.
-4. Where the summary is odd or unbalanced, a piece fails, or the text may carry a rule of the file as a
-   whole (``lexmap.FILE_RULE``, as a late ``__future__`` import), the file's own row is parsed whole, so
-   the verdict is the grammar's and never an artefact of a cut.
+2. Contents are cut into chunks of whole lines of some ``CHUNK`` characters; each chunk, wherever it
+   lies, is reduced to a lexer-state map with bracket summary and possible cuts.
+3. The maps compose associatively (``lexmap.compose``): aggregations reduce them by ranges of ``RANGE``
+   chunks and then by file. That gives the file its balance and every chunk its entry state and depth,
+   and with them the cuts that lie at statement starts outside all brackets.
+4. A balance that is off in a text whose brackets the lexer surely sees (``lexmap.DOUBT``) makes the
+   file invalid; nothing of it is parsed. All other files are parsed by their pieces of balanced
+   statements with the local grammar of the language, and are valid when all their pieces are. A piece
+   that fails is tried once more with its neighbours, as the lexer may have cut it wrongly. Files with
+   an odd summary or with a rule of the file as a whole (``lexmap.FILE_RULE``, as a late
+   ``__future__`` import) are not cut, so they are one piece.
 
 Python pieces go to the interpreter's own parser, so "current Python 3" is the version that runs the
 tasks; the other grammars are in ``grammar_js`` and ``grammar_php``.
 
 Null content or an extension of no known language gives no row in the verdicts; empty files are
-valid. Where nesting is beyond ``MAX_DEPTH`` the bracket summary decides: unbalanced in a text whose
-brackets the lexer surely sees (``lexmap.DOUBT``) is invalid, the rest counts as valid. A null
-``fetched_at`` sorts before all times. Rows delivered twice and older fetches never matter.
+valid. A piece nested beyond ``grammar_js.MAX_DEPTH`` levels in balanced brackets is undecided: the
+verdict is null. A null ``fetched_at`` sorts before all times. Rows delivered twice and older fetches
+never matter.
 """
 
 from __future__ import annotations
@@ -29,18 +30,18 @@ import re
 import sys
 import warnings
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from loomgraph.llm import grammar_js, grammar_php, lexmap
-from loomgraph.session import Cuts, ship
+from loomgraph.session import ship
 
-#: Characters of a chunk, and chunks whose maps are composed together.
-CHUNK, RANGE = 65_536, 256
+#: Characters of a chunk (small enough that most files have several), and chunks composed together.
+CHUNK, RANGE = 768, 256
 
 # Languages by extension.
 LANGUAGES = {"php": "php", "py": "py", "js": "js", "mjs": "js", "cjs": "js", "ts": "ts", "mts": "ts", "cts": "ts", "tsx": "tsx"}
@@ -69,18 +70,28 @@ def current_files(source_files: DataFrame) -> DataFrame:
 
 def fault(lang: str, text: str, php_open: bool = False) -> str | None:
     """Why a piece does not parse, or None. ``php_open``: the piece starts inside PHP code."""
-    return _parse(lang, text, php_open)[0]
+    with _roomy():
+        return _parse(lang, text, php_open)[0]
+
+
+@contextmanager
+def _roomy():
+    """Deep enough a stack for the parsers, and no warnings of the interpreter's own."""
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 60 * grammar_js.MAX_DEPTH))
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            yield
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 def _parse(lang: str, text: str, php_open: bool = False) -> tuple[str | None, bool]:
     """Why a piece does not parse, and whether it is too deep to say."""
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 20_000))
     try:
         if lang == "py":
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                compile(text.lstrip("﻿"), "piece", "exec", dont_inherit=True)
+            compile(text.lstrip("\ufeff"), "piece", "exec", dont_inherit=True)
         elif lang == "php":
             grammar_php.check("<?php\n" + text if php_open else text)
         else:
@@ -93,8 +104,6 @@ def _parse(lang: str, text: str, php_open: bool = False) -> tuple[str | None, bo
         return str(e), False
     except (grammar_js.Deep, RecursionError, MemoryError):
         return None, True
-    finally:
-        sys.setrecursionlimit(limit)
     return None, False
 
 
@@ -118,129 +127,118 @@ def cause(lang: str, text: str, why: str) -> str:
 _VERDICT = "file_path string, repo string, lang string, valid boolean, why string, cause string"
 
 
-def _decide(lang: str, text: str, ok: bool | None, unbalanced: str | None) -> str | None:
-    """Why a file is invalid: nothing if its pieces are sound, else what a whole parse or the summary says."""
-    if ok is True:
-        return None
-    why, deep = _parse(lang, text)
-    return unbalanced if deep else why
+def _dump(m: dict[str, lexmap.Summary], cuts: bool = False) -> str:
+    return json.dumps({s: (x.out, x.closers, x.openers, x.odd, x.last, x.cuts if cuts else ()) for s, x in m.items()})
+
 
+def _read(m: str) -> dict[str, lexmap.Summary]:
+    return {s: lexmap.Summary(*x) for s, x in json.loads(m).items()}
+
+
+def _start(lang: str) -> str:
+    return "h" if lang == "php" else "c"
 
-def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        why = [_decide(*x) for x in zip(b["lang"], b["content"], b["ok"], b["unbalanced"])]
-        yield pd.DataFrame(
-            {
-                "file_path": b["file_path"], "repo": b["repo"], "lang": b["lang"], "valid": [w is None for w in why], "why": why,
-                "cause": [None if w is None else cause(lang, text, w) for lang, text, w in zip(b["lang"], b["content"], why)],
-            }
-        )
 
+def _maps(size: int):
+    """Map of every chunk with its offset, as a line that sorts by the chunk's number; a file's first chunk
+    is entered in one state only."""
 
-def _chunks(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for path, lang, text in zip(b["file_path"], b["lang"], b["content"]):
                 labels = sorted(set(lexmap.LABEL.findall(text))) if lang == "php" else []
-                out += [(path, lang, no, labels, part) for no, part in enumerate(lexmap.lines(text, size))]
-            yield pd.DataFrame(out, columns=["file_path", "lang", "no", "labels", "text"])
+                rule, doubt, at = lexmap.file_rule(lang, text), lexmap.doubtful(lang, text), 0
+                for no, part in enumerate(lexmap.lines(text, size)):
+                    m = lexmap.chunk_map(lang, part, labels) if no else {_start(lang): lexmap.scan(lang, part, _start(lang))}
+                    out.append((path, lang, no // RANGE, f"{no:012d} {at} {_dump(m, True)}", rule, doubt))
+                    at += len(part)
+            yield pd.DataFrame(out, columns=["file_path", "lang", "run", "line", "rule", "doubt"])
 
     return run
 
 
-def _dump(m: dict[str, lexmap.Summary]) -> str:
-    return json.dumps({s: (x.out, x.closers, x.openers, x.odd) for s, x in m.items()})
-
-
-def _read(m: str) -> dict[str, lexmap.Summary]:
-    return {s: lexmap.Summary(*x) for s, x in json.loads(m).items()}
-
+def _lines(run: str) -> list[tuple[int, dict[str, lexmap.Summary]]]:
+    """(offset, map) of the chunks of a run."""
+    return [(int(at), _read(m)) for _, at, m in (x.split(" ", 2) for x in run.split("\n"))]
 
-def _start(lang: str) -> str:
-    return "h" if lang == "php" else "c"
 
+def _composed(runs: pd.Series) -> pd.Series:
+    """One map of a run of neighbouring chunks."""
+    return pd.Series([_dump(reduce(lexmap.compose, (m for _, m in _lines(r)))) for r in runs])
 
-def _maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Map of every chunk; a file's first chunk is entered in one state only."""
-    for b in batches:
-        out = []
-        for lang, no, text, labels in zip(b["lang"], b["no"], b["text"], b["labels"]):
-            out.append(_dump(lexmap.chunk_map(lang, text, list(labels)) if no else {_start(lang): lexmap.scan(lang, text, _start(lang))}))
-        yield pd.DataFrame({"file_path": b["file_path"], "lang": b["lang"], "no": b["no"], "map": out, "rule": [lexmap.file_rule(*x) for x in zip(b["lang"], b["text"])], "doubt": [lexmap.doubtful(*x) for x in zip(b["lang"], b["text"])]})
-
-
-def _composed(maps: pd.Series) -> pd.Series:
-    """One map of a run of neighbouring maps."""
-    return pd.Series([_dump(reduce(lexmap.compose, (_read(r["map"]) for r in sorted(rows, key=lambda r: r["no"])))) for rows in maps])
 
+def _placed(lang: pd.Series, composed: pd.Series, runs: pd.Series) -> pd.DataFrame:
+    """Balance of a file from its composed runs (null, or what is left open; ``odd`` apart), and its cuts."""
+    opens, odds, cuts = [], [], []
+    for la, maps, texts in zip(lang, composed, runs):
+        x, at = lexmap.Summary(_start(la)), [0]
+        for m, text in zip(maps, texts):
+            y = x
+            for offset, chunk in _lines(text):
+                z, depth = chunk[y.out], len(y.openers) - len(y.closers)
+                free = y.last != "@" if la == "py" else y.last in (";", "}")
+                at += [offset + o for o, rel, asks in z.cuts if rel + depth == 0 and offset + o and (free or not asks)]
+                y = lexmap.join(y, z)
+            x = lexmap.join(x, _read(m)[x.out])
+        left = x.openers[-1:] if x.openers else "" if x.out in ("c", "h") else x.out
+        opens.append(f"unmatched '{x.closers[0]}'" if x.closers else f"'{left}' was never closed" if left else None)
+        odds.append(x.odd)
+        cuts.append(at)
+    return pd.DataFrame({"open": opens, "odd": odds, "cuts": cuts})
 
-def _entries(now: pd.Series, maps: pd.Series) -> pd.Series:
-    """Summary of the file before each map of a run, which starts after the summary ``now``; at -1 the one after the last."""
-    out = []
-    for first, rows in zip(now, maps):
-        x, entry = lexmap.Summary(*json.loads(first)), []
-        for row in sorted(rows, key=lambda r: r["no"]):
-            entry.append({"no": int(row["no"]), "now": json.dumps((x.out, x.closers, x.openers, x.odd))})
-            x = lexmap.join(x, _read(row["map"])[x.out])
-        out.append([*entry, {"no": -1, "now": json.dumps((x.out, x.closers, x.openers, x.odd))}])
-    return pd.Series(out)
 
+def _by_pieces(lang: str, text: str, cuts: list[int]) -> tuple[str | None, bool]:
+    """First fault of the pieces between ``cuts``, and whether one is too deep to say."""
+    ends, deep = [*cuts[1:], len(text)], False
 
-def _balance(lang: pd.Series, end: pd.Series) -> pd.Series:
-    """What the summary of a whole file leaves open: null if nothing, '?' if it is odd."""
-    out = []
-    for la, e in zip(lang, end):
-        x = lexmap.Summary(*json.loads(e))
-        left = x.openers[-1:] if x.openers else "" if x.out in ("c", "h") else x.out
-        out.append("?" if x.odd else f"unmatched '{x.closers[0]}'" if x.closers else f"'{left}' was never closed" if left else None)
-    return pd.Series(out)
+    def piece(i: int, j: int) -> tuple[str | None, bool]:
+        return _parse(lang, text[cuts[i] : ends[j]], lang == "php" and cuts[i] > 0)
 
+    last = len(cuts) - 1
+    for i in range(last + 1):
+        why, too_deep = piece(i, i)
+        around = [(i, i + 1), (i - 1, i), (i - 1, i + 1)] if why else []
+        if why and not any(piece(j, k) == (None, False) for j, k in around if j >= 0 and k <= last):
+            return why, False
+        deep |= too_deep
+    return None, deep
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = []
-        for path, lang, no, text, now in zip(b["file_path"], b["lang"], b["no"], b["text"], b["now"]):
-            state, closers, openers, _ = json.loads(now)
-            cuts = {o for o, rel in lexmap.scan(lang, text, state).cuts if rel + len(openers) - len(closers) == 0}
-            at = sorted({0, *cuts})
-            out += [(path, lang, no, i, int(x in cuts), state != "h" or i > 0, text[x:y]) for i, (x, y) in enumerate(zip(at, [*at[1:], len(text)]))]
-        yield pd.DataFrame(out, columns=["file_path", "lang", "no", "part", "starts", "code", "text"])
 
+def _judge(with_cause: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            valid, whys, causes = [], [], []
+            with _roomy():
+                for lang, text, unbalanced, sure, cuts in zip(b["lang"], b["content"], b["open"], b["sure"], b["cuts"]):
+                    why, deep = (unbalanced, False) if sure and unbalanced else _by_pieces(lang, text, [int(x) for x in cuts])
+                    valid.append(None if deep and not why else not why)
+                    whys.append(why or ("nested too deeply to say" if deep else None))
+                    causes.append(cause(lang, text, why) if why and with_cause else None)
+            yield pd.DataFrame({"file_path": b["file_path"], "repo": b["repo"], "lang": b["lang"], "valid": pd.array(valid, "boolean"), "why": whys, "cause": causes})
 
-def _judge_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        ok = [fault(lang, text, lang == "php" and code) is None for lang, text, code in zip(b["lang"], b["text"], b["code"])]
-        yield pd.DataFrame({"file_path": b["file_path"], "ok": ok})
+    return run
 
 
-def verdicts(source_files: DataFrame, chunk: int = CHUNK, run: int = RANGE) -> DataFrame:
-    """(file_path, repo, lang, valid, why, cause) for every file with a known language and content."""
+def verdicts(source_files: DataFrame, chunk: int = CHUNK, with_cause: bool = True) -> DataFrame:
+    """(file_path, repo, lang, valid, why, cause) for every file with a known language and content; without
+    ``with_cause`` the cause is null."""
     ship(source_files.sparkSession)
-    parts_n = int(source_files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     files = current_files(source_files).where(F.col("lang").isNotNull() & F.col("content").isNotNull())
-    chunks = files.select("file_path", "lang", "content").mapInPandas(_chunks(chunk), "file_path string, lang string, no int, labels array<string>, text string")
-    entries, composed, balance = F.pandas_udf(_entries, "array<struct<no int, now string>>"), F.pandas_udf(_composed, "string"), F.pandas_udf(_balance, "string")
-    maps = chunks.mapInPandas(_maps, "file_path string, lang string, no int, map string, rule boolean, doubt boolean")
-    runs = maps.groupBy("file_path", "lang", F.floor(F.col("no") / run).cast("int").alias("run")).agg(F.collect_list(F.struct("no", "map")).alias("maps"), F.max("rule").alias("rule"), F.max("doubt").alias("doubt"))
-    whole = runs.withColumn("map", composed("maps")).groupBy("file_path", "lang").agg(F.collect_list(F.struct(F.col("run").alias("no"), "map", "maps")).alias("runs"), F.max("rule").alias("rule"), F.max("doubt").alias("doubt"))
-    start = F.when(F.col("lang") == "php", '["h", "", "", false]').otherwise('["c", "", "", false]')
-    whole = whole.withColumn("at", entries(start, F.expr("transform(runs, r -> struct(r.no as no, r.map as map))")))
-    whole = whole.withColumn("open", balance("lang", F.expr("filter(at, x -> x.no = -1)[0].now")))
-    whole = Cuts(source_files.sparkSession, "syntax").write(whole)
-    by_run = whole.where("open is null and not rule").select("file_path", F.explode("runs").alias("r"), F.expr("map_from_entries(at)").alias("at"))
-    placed = by_run.select("file_path", F.inline(entries(F.expr("at[r.no]"), F.col("r.maps")))).where("no >= 0")
-    parts = chunks.drop("labels").join(placed, ["file_path", "no"]).mapInPandas(_cut, "file_path string, lang string, no int, part int, starts int, code boolean, text string")
-    numbered = parts.repartition(parts_n, "file_path").withColumn("piece", F.sum("starts").over(W.partitionBy("file_path").orderBy("no", "part")))
-    pieces = numbered.groupBy("file_path", "lang", "piece").agg(F.sort_array(F.collect_list(F.struct("no", "part", "code", "text"))).alias("p"))
-    pieces = pieces.select("file_path", "lang", F.col("p")[0]["code"].alias("code"), F.array_join(F.col("p.text"), "").alias("text"))
-    sound = pieces.mapInPandas(_judge_pieces, "file_path string, ok boolean").groupBy("file_path").agg(F.min("ok").alias("ok"))
-    unbalanced = whole.where("open is not null and open <> '?' and not doubt").select("file_path", F.col("open").alias("unbalanced"))
-    return files.join(sound, "file_path", "left").join(unbalanced, "file_path", "left").mapInPandas(_judge, _VERDICT)
+    composed, placed = F.pandas_udf(_composed, "string"), F.pandas_udf(_placed, "open string, odd boolean, cuts array<int>")
+    flags = [F.max("rule").alias("rule"), F.max("doubt").alias("doubt")]
+    maps = files.select("file_path", "lang", "content").mapInPandas(_maps(chunk), "file_path string, lang string, run int, line string, rule boolean, doubt boolean")
+    runs = maps.groupBy("file_path", "lang", "run").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("lines"), *flags).withColumn("map", composed("lines"))
+    whole = runs.groupBy("file_path", "lang").agg(F.sort_array(F.collect_list(F.struct("run", "map", "lines"))).alias("r"), *flags)
+    whole = whole.select("file_path", "rule", "doubt", placed("lang", F.col("r.map"), F.col("r.lines")).alias("p"))
+    uncut = F.col("rule") | F.col("p.odd") | F.col("p.open").isNotNull()
+    whole = whole.select("file_path", F.col("p.open").alias("open"), (~F.col("doubt") & ~F.col("p.odd")).alias("sure"), F.when(uncut, F.array(F.lit(0))).otherwise(F.col("p.cuts")).alias("cuts"))
+    return files.join(whole, "file_path").mapInPandas(_judge(with_cause), _VERDICT)
 
 
 def rates(judged: DataFrame) -> DataFrame:
-    """Files, invalid files and their rate per repository and language."""
+    """Files, invalid and undecided files and the rate of invalid ones per repository and language."""
+    invalid = F.count(F.when(~F.col("valid"), 1))
     return judged.groupBy("repo", F.col("lang").alias("language")).agg(
-        F.count("*").alias("files"), F.count(F.when(~F.col("valid"), 1)).alias("invalid"), F.round(F.count(F.when(~F.col("valid"), 1)) / F.count("*"), 6).alias("rate")
+        F.count("*").alias("files"), invalid.alias("invalid"), F.count(F.when(F.col("valid").isNull(), 1)).alias("undecided"), F.round(invalid / F.count("*"), 6).alias("rate")
     )

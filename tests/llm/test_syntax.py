@@ -65,8 +65,16 @@ def test_truncations_of_a_balanced_file_are_invalid():
     assert all(S.fault("js", text[:i]) for i in range(9, len(text) - 2))
 
 
-def test_deep_nesting_is_undecided():
-    assert S.fault("js", "(" * 5000 + ")" * 5000) is None and S.fault("php", "<?php " + "[" * 5000 + "]" * 5000 + ";") is None
+def test_nesting():
+    """Beyond the old bound of 400 levels texts are judged; beyond the bound of now they are undecided."""
+    with S._roomy():
+        _nesting()
+
+
+def _nesting():
+    assert S._parse("js", "(" * 900 + "1" + ")" * 900) == (None, False) and S._parse("php", "<?php " + "[" * 900 + "]" * 900 + ";") == (None, False)
+    assert S.fault("js", "(" * 900 + "1 2" + ")" * 900) and S.fault("php", "<?php " + "[" * 900 + "1 2" + "]" * 900 + ";")
+    assert S._parse("js", "(" * 5000 + "1" + ")" * 5000) == (None, True) and S._parse("php", "<?php " + "[" * 5000 + "]" * 5000 + ";") == (None, True)
 
 
 SOURCE = {
@@ -134,20 +142,60 @@ def test_rates_and_causes(spark):
 
 def test_rules_of_the_whole_file_hold_over_pieces(spark):
     rows = [("/a.py", "x = 1\n" * 20 + "from __future__ import annotations\n", T0), ("/b.py", "x = 1\n" * 20 + "import a\nglobal x\n", T0), ("/c.py", "from __future__ import annotations\n" + "import a\n" * 20, T0)]
-    for chunk in (30, S.CHUNK):
+    for chunk in (30, 10**6):
         assert {r.file_path: r.valid for r in S.verdicts(frame(spark, rows), chunk).collect()} == {"/a.py": False, "/b.py": False, "/c.py": True}
 
 
-def test_the_summary_decides_what_is_too_deep(spark):
+def test_the_summary_decides_without_parsing(spark, monkeypatch):
+    """A balance that is surely off is invalid; what is too deep is undecided, where the summary may err too."""
     rows = [("/a.js", "(" * 5000, T0), ("/b.php", "<?php " + "[" * 5000 + "]" * 4999 + ";", T0), ("/c.js", "(" * 5000 + "1" + ")" * 5000, T0), ("/d.js", "a = /x/;" + "(" * 5000, T0)]
     got = {r.file_path: (r.valid, r.cause) for r in S.verdicts(frame(spark, rows)).collect()}
-    assert got == {"/a.js": (False, "truncated or unclosed"), "/b.php": (False, "truncated or unclosed"), "/c.js": (True, None), "/d.js": (True, None)}
+    assert got == {"/a.js": (False, "truncated or unclosed"), "/b.php": (False, "truncated or unclosed"), "/c.js": (None, None), "/d.js": (None, None)}
+    r = S.rates(S.verdicts(frame(spark, rows))).where("language = 'js'").collect()[0]
+    assert (r.files, r.invalid, r.undecided) == (3, 1, 2)
+
+
+def placed(lang, text, size):
+    """Summary row and pieces of a text, by the operator's own steps."""
+    import pandas as pd
+
+    rows = next(S._maps(size)(iter([pd.DataFrame({"file_path": ["p"], "lang": [lang], "content": [text]})])))
+    lines = pd.Series(["\n".join(sorted(rows["line"]))])
+    p = S._placed(pd.Series([lang]), pd.Series([[S._composed(lines)[0]]]), pd.Series([[lines[0]]])).iloc[0]
+    return p["open"], p["odd"], [text[i:j] for i, j in zip(p["cuts"], [*p["cuts"][1:], len(text)])]
+
+
+@pytest.mark.parametrize("size", [30, 64, 200, 512])
+def test_pieces_do_not_depend_on_chunks(size):
+    for lang, text in SOURCE.items():
+        assert placed(lang, text * 5, size) == placed(lang, text * 5, 10**6)
+        assert len(placed(lang, text * 5, size)[2]) > 3
 
 
-def test_short_files_go_through_pieces_and_ranges(spark, monkeypatch):
-    rows = [(f"/big{i}.{lang}", SOURCE[lang] * 3 + tail, T0) for lang in SOURCE for i, tail in enumerate(("", "\n(", "\n" + "x" * 100))]
-    df = frame(spark, [*rows, ("/one.php", SOURCE["php"], T0)])
+def test_pieces_begin_at_statements():
+    js = "const a = 1;\nexport default\nclass A {}\n// note;\nfunction f() {}\nlet b = f\nconst c = 2;\n"
+    for size in (8, 20, 10**6):
+        assert [p.split("\n")[0] for p in placed("js", js, size)[2]] == ["const a = 1;", "export default", "function f() {}", "let b = f"]
+    py = "import a\n@d(\n  1,\n)\n# note\n@e\ndef f():\n    pass\nclass B:\n    x = 1\n"
+    for size in (8, 20, 10**6):
+        assert [p.split("\n")[0] for p in placed("py", py, size)[2]] == ["import a", "@d(", "class B:"]
+
+
+def test_most_files_have_several_chunks_and_short_ranges_change_nothing(spark, monkeypatch):
+    df = frame(spark, [(f"/big{i}.{lang}", SOURCE[lang] * 9 + tail, T0) for lang in SOURCE for i, tail in enumerate(("", "\n(", "\n" + "x" * 100))])
     verdict = lambda *a: {r.file_path: r.valid for r in S.verdicts(df, *a).collect()}
-    assert verdict(30, 2) == verdict(30, 3) == verdict(10**6)
-    monkeypatch.setattr(S, "_decide", lambda lang, text, ok, unbalanced: None if ok is True else "whole")
-    assert {p for p, v in verdict().items() if v} == {"/big0.js", "/big2.js", "/big0.py", "/big2.py", "/one.php"}
+    want = verdict(10**6)
+    assert verdict() == verdict(30) == want and len(set(want.values())) == 2
+    monkeypatch.setattr(S, "RANGE", 3)
+    assert verdict(30) == want
+
+
+def test_a_wrong_cut_is_mended_by_the_neighbours():
+    text = "const a = <p>;\nfunction x\n</p>;\nlet b = 1;\n"
+    assert S._by_pieces("tsx", text, [0, 15, 32]) == (None, False)
+    assert S._by_pieces("js", "let a = 1;\nlet b = ;\nlet c = 1;\n", [0, 11, 21])[0]
+
+
+def test_no_whole_parse_in_the_plan(spark):
+    plan = S.verdicts(frame(spark, []), with_cause=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 2 and plan.count("_composed") >= 1 and plan.count("_placed") >= 1

@@ -1,28 +1,35 @@
 """Generated, minified, vendored files and data blobs among source files (problem 2).
 
-1. *Name models.* Per language a character trigram model is trained on the names in all contents
-   (strings and comments left out; a name counts once per content). Letters are folded to 30 symbols, so a model is a cube of
-   30^3 numbers whatever the corpus; the trigram counts are a Spark aggregation and only the cubes
-   (at most 27,000 cells a language) are gathered and sent to the executors.
-2. *Scores per file*, in one pass over the current contents: mean cross-entropy of the names under
-   the model of the file's language and their mean length (mangled names are short and improbable),
-   names per text and their diversity (templates and data have few), share of literals, longest
-   line, and the owners that the file names for itself (namespace root, licence header, banner).
-3. *Owners per repository.* An owner that the majority of a repository's owned files name is its own;
-   files of another owner that occurs in several repositories, or that says under which licence it is
-   passed on, follow a foreign naming style: they are vendored.
-4. *Exact checks*: the marks that tools put into headers and paths, package directories, and names of
-   delivered bundles.
-
-``reason`` is the first of vendored, minified, generated, data that holds; files without any are
-hand-written and not returned. A file whose content is null, or that has no source row, is judged by
-its path alone. Null paths are ignored; spellings of the separator do not matter; rows delivered
-twice count once. Short settings files have literals, but names too, and are no data blobs.
+Character trigram models of names decide, in three rules; a fourth tells data:
+
+* ``mangled`` (minified). Per language a trigram model is trained on the names in all contents (strings
+  and comments left out; a name counts once per content). A file whose names cost clearly more bits a
+  character than the names of any language's corpus do is mangled.
+* ``template`` (generated). Names that differ in digits only, or that are put together from a few words
+  over and over, have a low diversity: few distinct forms, or few distinct parts, for many names.
+* ``style`` (vendored). Every repository gets a trigram model of the names its files give themselves
+  (namespace root, holder and title in comments, prefix that most declarations share). A file that
+  calls itself by a name which is improbable under its own repository's model follows a foreign naming
+  style. An exact check follows: the name occurs in several repositories, or the file says under which
+  licence it is passed on. The counts and the entropies of names are Spark aggregations and joins.
+* ``literals`` (data). Literals hold most of the text. Short settings files have literals, but names
+  too, and are no data blobs.
+
+Exact checks then only add files: ``mark`` (what tools write into comments) and ``path`` (package
+directories, names of delivered bundles and of generated files). ``rule`` is the first that holds in
+this order, ``score`` what it measured (bits, diversity, share; null for marks and paths), ``reason``
+the kind. Files without any are hand-written and not returned.
+
+A file whose content is null, or that has no source row, is judged by its path alone; a null ``repo``
+has no style. Null paths are ignored; spellings of the separator do not matter; rows delivered twice
+count once. Whole texts are read: a mark or a licence counts wherever its comment stands. The language
+models (at most 27,000 cells a language) are all that is gathered and sent to the executors.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,16 +43,18 @@ from loomgraph.session import Cuts, ship
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0_?^"
 CODE = {c: i for i, c in enumerate(SYMBOLS)}
 
-#: Mangled: names this short on average and this improbable (bits a character), in lines this long.
-MANGLED_LENGTH, MANGLED_BITS, LONG_LINE = 3.3, 3.0, 300
+#: Mangled: so many bits a character above the mean of a language's names, in at least so many distinct names.
+MANGLED_EXCESS, MANGLED_NAMES = 0.9, 20
+#: Templates: at most so many distinct forms or parts a name, in at least so many distinct names.
+TEMPLATE_DIVERSITY, TEMPLATE_NAMES = 0.5, 40
+#: Style: so many bits a character under the own repository's model.
+FOREIGN_BITS = 0.8
+#: A prefix names its file when this share of at least so many declarations bear it.
+PREFIX_SHARE, PREFIX_DECLARED = 0.6, 5
+#: A foreign name without a licence text must occur in so many repositories.
+FOREIGN_REPOS = 3
 #: Data: literals hold this share of the text, which has at least so many characters other than blanks.
 DATA_SHARE, DATA_CHARS = 0.6, 200
-#: Templates: this few distinct names among at least so many.
-TEMPLATE_DIVERSITY, TEMPLATE_NAMES = 0.06, 80
-#: A foreign owner without a licence text must occur in so many repositories.
-FOREIGN_REPOS = 3
-#: Headers are looked for in so many characters at the start (banners and marks stand there by custom).
-HEADER = 1500
 
 # Directories and names that tools and package managers use.
 PACKAGE_DIRS = ["node_modules", "bower_components", "jspm_packages", "site-packages", "third_party", "third-party", "thirdparty", "3rdparty", "Godeps", "Pods", ".venv"]
@@ -59,20 +68,23 @@ _MARK = re.compile(
     re.I,
 )
 _LICENCE = re.compile(r"\(c\) the (?P<a>[\w.-]+) (?:contributors|authors|developers)|copyright (?:\(c\) )?[\d, -]* ?(?:the )?(?P<b>[\w.-]+) (?:contributors|authors|team|project)|\bpart of (?:the )?(?P<c>[\w-]+)\b(?= (?:library|package|project)|\.)", re.I)
-_PASSED_ON = re.compile(r"released under|licen[cs]ed under|SPDX-License-Identifier|distributed with permission|upstream( copy)?\s*[:;,]|see (the )?LICEN[CS]E", re.I)
-_BANNER = re.compile(r"^/\*!\s*(?P<a>[\w.-]+)\s+v?\d+(?:\.\d+)+")
+_PASSED_ON = re.compile(r"released under|licen[cs]ed under|SPDX-License-Identifier|distributed with permission|upstream( copy)?\s*[:;,]|see (the )?LICEN[CS]E|^/\*!\s*[\w.-]+\s+v?\d+(?:\.\d+)+", re.I)
+_TITLE = re.compile(r"^/\*![\s*]*([A-Za-z][\w.-]*)\s+v?\d+(?:\.\d+)+")
 _NAMESPACE = re.compile(r"^\s*namespace\s+([A-Za-z_]\w*)", re.M)
-_COMMENT = re.compile(r"/\*[\s\S]*?\*/|(?://|#)[^\n]*|\"\"\"[\s\S]*?\"\"\"")
-_STRING = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"")
+_DECLARED = re.compile(r"\b(?:class|interface|trait|function|def)\s+([A-Za-z_$][\w$]*)")
 _NUMBER = re.compile(r"(?<![\w.])-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?(?!\w)")
 _NAME = re.compile(r"[A-Za-z_$][\w$]*")
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+_DIGITS = re.compile(r"\d+")
 _BLANK = re.compile(r"\s+")
 
-_SCORES = "file_path string, repo string, bits double, name_length double, names int, diversity double, literals double, chars int, longest_line int, owner string, passed_on boolean, marked boolean"
-
+# Strings and comments, in forms that do not recurse on long ones; ``#`` opens comments in some languages only.
+_STRINGS = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\""
+_QUIET = {True: r"(?s)/\*.*?\*/|(?://|#(?!\[))[^\n]*+|" + _STRINGS, False: r"(?s)/\*.*?\*/|//[^\n]*+|" + _STRINGS}
+_HASH = ["php", "py"]
+_QUIET_RX = {k: re.compile(('(?s)"""' + '.*?"""|' if k else "(?s)") + v[4:]) for k, v in _QUIET.items()}
 
-# Strings and comments, in a form that does not recurse on long ones.
-_QUIET = r"(?s)/\*.*?\*/|(?://|#)[^\n]*+|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\""
+_SCORES = "file_path string, repo string, excess double, names int, diversity double, literals double, chars int, called array<string>, passed_on boolean, marked boolean"
 
 
 def fold(name: Column) -> Column:
@@ -81,10 +93,11 @@ def fold(name: Column) -> Column:
     return F.concat(F.lit("^^"), low, F.lit("^"))
 
 
-def train(source_files: DataFrame) -> dict[str, np.ndarray]:
-    """Per language the bits of every symbol after every two, from the names of all contents; a name
-    counts once for each content it occurs in."""
-    used = F.array_distinct(F.regexp_extract_all(F.regexp_replace("content", _QUIET, " "), F.lit(r"([A-Za-z_$][A-Za-z0-9_$]*)"), F.lit(1)))
+def train(source_files: DataFrame) -> tuple[dict[str, np.ndarray], dict[str, float]]:
+    """Per language the bits of every symbol after every two, from the names of all contents, and their mean;
+    a name counts once for each content it occurs in."""
+    quiet = F.when(language().isin(_HASH), F.regexp_replace("content", _QUIET[True], " ")).otherwise(F.regexp_replace("content", _QUIET[False], " "))
+    used = F.array_distinct(F.regexp_extract_all(quiet, F.lit(r"([A-Za-z_$][A-Za-z0-9_$]*)"), F.lit(1)))
     names = source_files.where(F.col("content").isNotNull()).select(language().alias("lang"), F.explode(used).alias("name")).where("lang is not null")
     names = names.groupBy("lang", "name").agg(F.count("*").alias("n")).select("lang", "n", fold(F.col("name")).alias("w"))
     grams = names.select("lang", "n", F.explode(F.expr("transform(sequence(1, length(w) - 2), i -> substring(w, i, 3))")).alias("g")).groupBy("lang", "g").agg(F.sum("n").alias("n"))
@@ -97,13 +110,11 @@ def train(source_files: DataFrame) -> dict[str, np.ndarray]:
         one = two.sum(axis=0) + 1
         back = (two + 5 * one / one.sum()) / (two.sum(axis=1, keepdims=True) + 5)
         out[lang] = -np.log2((tri + 5 * back[None]) / (tri.sum(axis=2, keepdims=True) + 5))
-    return out
+    return out, {lang: float((tri * out[lang]).sum() / tri.sum()) for lang, tri in cubes.items()}
 
 
-def _bits(cube: np.ndarray | None, name: str) -> float:
+def _bits(cube: np.ndarray, name: str) -> float:
     """Mean bits a character of a name."""
-    if cube is None:
-        return 0.0
     a = b = CODE["^"]
     total = 0.0
     for c in name.lower():
@@ -113,39 +124,59 @@ def _bits(cube: np.ndarray | None, name: str) -> float:
     return (total + cube[a, b, CODE["^"]]) / (len(name) + 1)
 
 
-def _owner(text: str) -> tuple[str | None, bool]:
-    head = text[:HEADER]
-    comments = "\n".join(_COMMENT.findall(head))
-    m = _BANNER.match(head.lstrip()) or _LICENCE.search(comments)
-    name = next((g for g in m.groups() if g), None) if m else None
-    n = _NAMESPACE.search(head)
-    if n and (name is None or name.lower() == n.group(1).lower()):
-        name = n.group(1)
-    return (name.lower() if name else None), bool(_PASSED_ON.search(comments)) or bool(_BANNER.match(head.lstrip()))
+def _called(lang: str | None, comments: list[str], plain: str) -> set[str]:
+    """Names that a file gives itself, in lower case."""
+    out = {g for c in comments for m in _LICENCE.finditer(c) for g in m.groups() if g} | {m.group(1) for c in comments for m in [_TITLE.match(c)] if m}
+    if lang == "php":
+        out |= set(_NAMESPACE.findall(plain))
+    declared = [_PART.findall(n) for n in set(_DECLARED.findall(plain))]
+    if len(declared) >= PREFIX_DECLARED:
+        prefix, n = Counter(p[0].lower() for p in declared if len(p) > 1).most_common(1)[0] if any(len(p) > 1 for p in declared) else ("", 0)
+        out |= {prefix} if n >= PREFIX_SHARE * len(declared) else set()
+    return {n.lower() for n in out}
+
+
+def _diversity(names: set[str]) -> float:
+    """Distinct forms or distinct parts a name, whichever is fewer (forms: names without their digits)."""
+    parts = {p.lower() for n in names for p in _PART.findall(n) if not p.isdigit()}
+    return min(len({_DIGITS.sub("0", n) for n in names}), len(parts)) / max(1, len(names))
 
 
 def _scores(models) -> object:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cubes, known = models.value, {}
+        (cubes, means), known = models.value, {}
+
+        def excess(lang: str | None, names: set[str]) -> float:
+            """Bits a character above the mean of the language's names; of another language's, if that is less."""
+            best = None
+            for k in sorted(cubes, key=lambda k: k != lang):
+                total = 0.0
+                for n in names:
+                    if (k, n) not in known:
+                        if len(known) > 400_000:
+                            known.clear()
+                        known[k, n] = _bits(cubes[k], n)
+                    total += known[k, n]
+                mine = total / len(names) - means[k]
+                best = mine if best is None else min(best, mine)
+                if best < MANGLED_EXCESS:
+                    break
+            return 0.0 if best is None else best
+
         for b in batches:
             out = []
             for path, repo, lang, text in zip(b["file_path"], b["repo"], b["lang"], b["content"]):
-                text = text if isinstance(text, str) else ""
-                chars = len(_BLANK.sub("", text))
-                plain = _STRING.sub(" ", text)
-                names = _NAME.findall(_COMMENT.sub(" ", plain))
-                literal = sum(len(_BLANK.sub("", s)) - 2 for s in _STRING.findall(text)) + sum(map(len, _NUMBER.findall(plain)))
-                distinct = set(names)
-                for n in distinct:
-                    if (lang, n) not in known:
-                        if len(known) > 200_000:
-                            known.clear()
-                        known[lang, n] = _bits(cubes.get(lang), n)
-                owner, passed_on = _owner(text)
+                quiet = _QUIET_RX[lang in _HASH]
+                spans = quiet.findall(text)
+                comments = [x for x in spans if x[0] in "/#" or x.startswith('"' * 3)]
+                strings = sum(len(_BLANK.sub("", x)) - 2 for x in spans if x[0] in "'\"" and not x.startswith('"' * 3))
+                plain = quiet.sub(" ", text)
+                names, chars = set(_NAME.findall(plain)), len(_BLANK.sub("", text))
+                literal = strings + sum(map(len, _NUMBER.findall(plain)))
                 out.append(
                     (
-                        path, repo, sum(known[lang, n] for n in distinct) / max(1, len(distinct)), sum(map(len, names)) / max(1, len(names)), len(names), len(distinct) / max(1, len(names)),
-                        literal / max(1, chars), chars, max(map(len, text.split("\n"))), owner, passed_on, bool(_MARK.search("\n".join(_COMMENT.findall(text[:HEADER])))),
+                        path, repo, excess(lang, names) if names else 0.0, len(names), _diversity(names), literal / max(1, chars), chars, sorted(_called(lang, comments, plain)),
+                        any(map(_PASSED_ON.search, comments)), any(map(_MARK.search, comments)),
                     )
                 )
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _SCORES.split(", ")])
@@ -173,20 +204,60 @@ def scores(symbols: DataFrame, source_files: DataFrame) -> DataFrame:
     return files.join(judged, "file_path", "left")
 
 
-def not_handwritten(symbols: DataFrame, source_files: DataFrame) -> DataFrame:
-    """(file_path, reason) of every file that is not hand-written, with the scores that tell."""
+def style_bits(called: DataFrame) -> DataFrame:
+    """called (repo, name, n files) -> (repo, name, bits): bits a character of the name under the trigram model
+    of the names in its own repository."""
+    w = called.select("repo", "name", "n", fold(F.col("name")).alias("w"))
+    spots = w.select("repo", "name", "n", F.explode(F.expr("transform(sequence(1, length(w) - 2), i -> substring(w, i, 3))")).alias("g"))
+    tri = spots.groupBy("repo", "g").agg(F.sum("n").alias("of3"))
+    two = tri.groupBy("repo", F.substring("g", 1, 2).alias("h")).agg(F.sum("of3").alias("of2"))
+    cost = tri.withColumn("h", F.substring("g", 1, 2)).join(two, ["repo", "h"]).select("repo", "g", (-F.log2((F.col("of3") + 0.1) / (F.col("of2") + 3))).alias("cost"))
+    return spots.join(cost, ["repo", "g"]).groupBy("repo", "name").agg(F.avg("cost").alias("bits"))
+
+
+def judged(symbols: DataFrame, source_files: DataFrame) -> DataFrame:
+    """Every file with its scores and what each rule says (``mangled``, ``template``, ``style``, ``literal``,
+    ``marked``, ``by_path``); the rules do not look at each other."""
     cuts = Cuts(symbols.sparkSession, "handwritten")
     s = cuts.write(scores(symbols, source_files))
-    owned = s.where("owner is not null and repo is not null").groupBy("repo", "owner").agg(F.count("*").alias("n"))
-    own = owned.groupBy("repo").agg(F.max(F.struct("n", "owner")).alias("m")).select("repo", F.col("m.owner").alias("own"))
-    spread = owned.groupBy("owner").agg(F.count("*").alias("repos"))
-    j = s.join(own, "repo", "left").join(spread, "owner", "left")
-    foreign = (F.col("owner") != F.col("own")) & (F.col("owner") != F.lower("repo")) & (F.col("passed_on") | (F.col("repos") >= FOREIGN_REPOS))
-    mangled = (F.col("name_length") <= MANGLED_LENGTH) & (F.col("bits") >= MANGLED_BITS) & (F.col("longest_line") >= LONG_LINE)
-    template = F.col("marked") | ((F.col("diversity") < TEMPLATE_DIVERSITY) & (F.col("names") >= TEMPLATE_NAMES))
-    data = (F.col("literals") >= DATA_SHARE) & (F.col("chars") >= DATA_CHARS)
-    path = _path_reason(F.col("file_path"))
-    reason = F.coalesce(
-        F.when(path == "vendored", path), F.when(mangled, "minified"), F.when(foreign, "vendored"), F.when(path == "minified", path), F.when(template, "generated"), path, F.when(data, "data")
+    names = s.where("repo is not null").select("file_path", "repo", "passed_on", F.explode("called").alias("name"))
+    called = names.groupBy("repo", "name").agg(F.count("*").alias("n"))
+    spread = called.groupBy("name").agg(F.count("*").alias("repos"))
+    foreign = style_bits(called).where(F.col("bits") >= FOREIGN_BITS).where(F.col("name") != F.lower("repo")).join(spread, "name")
+    hit = names.join(foreign, ["repo", "name"]).where(F.col("passed_on") | (F.col("repos") >= FOREIGN_REPOS))
+    hit = hit.groupBy("file_path").agg(F.max(F.struct("bits", "name")).alias("h")).select("file_path", F.col("h.bits").alias("style_bits"), F.col("h.name").alias("foreign_name"))
+    out = s.join(hit, "file_path", "left").select(
+        "file_path", "repo", "excess", "diversity", "literals", "style_bits", "foreign_name",
+        ((F.col("excess") >= MANGLED_EXCESS) & (F.col("names") >= MANGLED_NAMES)).alias("mangled"),
+        ((F.col("diversity") <= TEMPLATE_DIVERSITY) & (F.col("names") >= TEMPLATE_NAMES)).alias("template"),
+        F.col("style_bits").isNotNull().alias("style"),
+        ((F.col("literals") >= DATA_SHARE) & (F.col("chars") >= DATA_CHARS)).alias("literal"),
+        F.coalesce("marked", F.lit(False)).alias("marked"), _path_reason(F.col("file_path")).alias("by_path"),
+    )
+    return cuts.finish(out)
+
+
+def not_handwritten(symbols: DataFrame, source_files: DataFrame) -> DataFrame:
+    """(file_path, repo, reason, rule, score, and the scores of all rules) of every file that is not hand-written."""
+    j = judged(symbols, source_files)
+    one = lambda reason, rule, score: F.struct(reason.alias("reason"), F.lit(rule).alias("rule"), score.alias("score"))
+    none = F.lit(None).cast("double")
+    first = (
+        F.when(F.col("mangled"), one(F.lit("minified"), "mangled", F.col("excess")))
+        .when(F.col("style"), one(F.lit("vendored"), "style", F.col("style_bits")))
+        .when(F.col("template"), one(F.lit("generated"), "template", F.col("diversity")))
+        .when(F.col("literal") & F.col("by_path").isNull() & ~F.col("marked"), one(F.lit("data"), "literals", F.col("literals")))
+        .when(F.col("marked"), one(F.lit("generated"), "mark", none))
+        .when(F.col("by_path").isNotNull(), one(F.col("by_path"), "path", none))
     )
-    return j.select("file_path", "repo", reason.alias("reason"), "bits", "name_length", "diversity", "literals", "owner").where("reason is not null")
+    j = j.withColumn("f", first).where("f is not null")
+    return j.select("file_path", "repo", "f.reason", "f.rule", "f.score", "excess", "diversity", "literals", "style_bits", "foreign_name")
+
+
+def rules(symbols: DataFrame, source_files: DataFrame) -> DataFrame:
+    """(rule, files, alone): how many files each rule finds, and how many of them no other rule does."""
+    held = ["mangled", "style", "template", "literal", "marked", "path"]
+    j = judged(symbols, source_files).withColumn("path", F.col("by_path").isNotNull())
+    flags = [F.coalesce(c, F.lit(False)) for c in held]
+    found = j.select(F.inline(F.array(*[F.struct(F.lit(c).alias("rule"), f.alias("holds")) for c, f in zip(held, flags)])), sum((f.cast("int") for f in flags), F.lit(0)).alias("n")).where("holds")
+    return found.groupBy("rule").agg(F.count("*").alias("files"), F.count(F.when(F.col("n") == 1, 1)).alias("alone"))

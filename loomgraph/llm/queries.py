@@ -18,6 +18,10 @@ def p2_reasons(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.not_handwritten(load(spark, d, "symbols"), load(spark, d, "source_files"))
 
 
+def p2_rules(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.rules(load(spark, d, "symbols"), load(spark, d, "source_files"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.verdicts(load(spark, d, "source_files"), with_cause=False).where("not valid").select("file_path")
 
@@ -67,7 +71,7 @@ def p8_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncation.limits(load(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_reasons, p5_found, p5_causes, p5_rates, p6_found, p6_items, p6_cleaned, p7_mix, p7_shares, p8_found, p8_reasons, p8_rates, p8_limits)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_reasons, p2_rules, p5_found, p5_causes, p5_rates, p6_found, p6_items, p6_cleaned, p7_mix, p7_shares, p8_found, p8_reasons, p8_rates, p8_limits)}
 
 _LEAKS = """
 iw as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from eval_items where text is not null),

@@ -54,10 +54,64 @@ def test_kinds(spark):
 
 def test_models_tell_mangled_names(spark):
     _, src, _ = frames(spark)
-    m = H.train(src)
+    m, means = H.train(src)
     assert m["js"].shape == (30, 30, 30) and np.allclose((2 ** -m["js"]).sum(axis=2), 1)
-    assert H._bits(m["js"], "orderBasket") < H._bits(m["js"], "q_z$x")
+    assert H._bits(m["js"], "orderBasket") < H._bits(m["js"], "q_z$x") and 0 < means["js"] < 4
+
+
+def planted():
+    """Files that neither a path nor a mark nor a licence gives away: reason -> path -> content."""
+    rnd = random.Random(9)
+    mangled = "\n".join(minified(rnd, 1) for _ in range(90))
+    pairs = [(a, b) for a in WORDS for b in WORDS[:6]]
+    parts = "export class OrderMessage {\n" + "".join(f"  get{a.title()}{b.title()}() {{\n    return this.{a}_{b};\n  }}\n" for a, b in pairs) + "}\n"
+    forms = "export class Rows {\n" + "".join(f"  field{i}() {{\n    return this.cell{i};\n  }}\n" for i in range(60)) + "}\n"
+    style = {f"/srv/trees/{r}/src/{r}lib/base.js": "".join(f"export function tnd{w.title()}(x) {{\n  return x.{w};\n}}\n" for w in WORDS[i : i + 7]) for i, r in enumerate(("alpha", "beta", "gamma"))}
+    return {"minified": {"/srv/trees/alpha/src/web/q.js": mangled}, "generated": {"/srv/trees/beta/src/a/msg.js": parts, "/srv/trees/gamma/src/a/rows.js": forms}, "vendored": style}
+
+
+def test_each_model_rule_finds_planted_files_alone(spark):
+    files, _, good = corpus()
+    bad = planted()
+    every = files | {p: c for v in bad.values() for p, c in v.items()} | {p: c for p, c in good.items() if c}
+    src = spark.createDataFrame([(p, p.split("/")[3], None, c, 1, datetime(2025, 1, 1), 0.0) for p, c in every.items()], SRC)
+    sym = spark.createDataFrame([(p, "n", "file", p, "r", "o") for p in every], SYM)
+    j = H.judged(sym, src).collect()
+    rule = {"minified": "mangled", "generated": "template", "vendored": "style"}
+    for reason, paths in bad.items():
+        assert {r.file_path for r in j if r[rule[reason]]} == set(paths), reason
+    assert not [r for r in j if r.marked or r.by_path]
+    got = {r.file_path: (r.reason, r.rule) for r in H.not_handwritten(sym, src).collect()}
+    assert got == {p: (k, rule[k]) for k, v in bad.items() for p in v}
+    assert {(r.rule, r.files, r.alone) for r in H.rules(sym, src).collect()} == {("mangled", 1, 1), ("template", 2, 2), ("style", 3, 3)}
+
+
+def test_marks_and_licences_anywhere(spark):
+    files, _, _ = corpus()
+    rnd = random.Random(5)
+    late = {
+        "/srv/trees/alpha/src/a/late.js": code(rnd, "alpha", 5) + "// We keep the orders here for a while.\n" * 90 + "// Code generated by tool. DO NOT EDIT.\n",
+        "/srv/trees/beta/src/a/copy.js": code(rnd, "beta", 5) + "// We keep the orders here for a while.\n" * 90 + "/* (c) the fastlib contributors, released under the terms in LICENSE-FASTLIB */\n",
+        "/srv/trees/gamma/src/a/tool.js": code(rnd, "gamma", 5) + "const head = '// Code generated by tool. DO NOT EDIT.';\n",
+    }
+    every = files | late
+    assert min(len(c) for c in late.values()) > 500 and len(late["/srv/trees/alpha/src/a/late.js"]) > 3000
+    src = spark.createDataFrame([(p, p.split("/")[3], None, c, 1, datetime(2025, 1, 1), 0.0) for p, c in every.items()], SRC)
+    sym = spark.createDataFrame([(p, "n", "file", p, "r", "o") for p in every], SYM)
+    assert {r.file_path: (r.reason, r.rule) for r in H.not_handwritten(sym, src).collect()} == {"/srv/trees/alpha/src/a/late.js": ("generated", "mark"), "/srv/trees/beta/src/a/copy.js": ("vendored", "style")}
+
+
+def test_style_bits_against_brute_force(spark, rows):
+    called = [("a", "alpha", 20), ("a", "alphabet", 3), ("a", "zed", 1), ("b", "zed", 9)]
+    got = {(r.repo, r.name): r.bits for r in H.style_bits(spark.createDataFrame(called, "repo string, name string, n long")).collect()}
+    for repo, name, _ in called:
+        grams = lambda w: [("^^" + w + "^")[i : i + 3] for i in range(len(w) + 1)]
+        of = [(g, n) for r, w, n in called if r == repo for g in grams(w)]
+        n3, n2 = (lambda g: sum(n for x, n in of if x == g)), (lambda h: sum(n for x, n in of if x[:2] == h))
+        want = np.mean([-np.log2((n3(g) + 0.1) / (n2(g[:2]) + 3)) for g in grams(name)])
+        assert abs(got[repo, name] - want) < 1e-9
 
 
 def test_empty(spark):
     assert H.not_handwritten(spark.createDataFrame([], SYM), spark.createDataFrame([], SRC)).count() == 0
+    assert H.rules(spark.createDataFrame([], SYM), spark.createDataFrame([], SRC)).count() == 0

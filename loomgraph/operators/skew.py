@@ -7,6 +7,9 @@ is the product of the counts, a sum over L is its state times the count of R. Th
 up. The first reduction has map-side partial aggregation, so a key that holds a third of all rows
 arrives at its reducer as one row per map task.
 
+``heavy`` takes its keys from the joined states of both inputs, so what is heavy, stored and joined comes
+out of one pass over compact rows.
+
 Distinct members are counted in two steps, on (key, member) first, which spreads a hot key over all
 tasks by its members, and then on the key over rows that are already partial.
 
@@ -36,12 +39,24 @@ def key_states(df: DataFrame, keys: list[str], member: str | None = None) -> Dat
 def eager_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "left") -> DataFrame:
     """Join two state tables; ``joined_rows`` is what the plain join of the raw inputs would count.
 
-    ``left`` and ``right`` carry ``n_rows``. With ``how='left'`` a state without partner keeps its
-    rows and gets ``joined_rows`` 0.
+    ``left`` and ``right`` carry ``n_rows``. A state without partner keeps its rows (``how`` left or full)
+    and gets ``joined_rows`` 0; with ``full``, a key of the right side alone has ``n_rows`` 0.
     """
     r = right.select(F.col(right_key).alias("_rk"), F.col("n_rows").alias("right_rows"), *[c for c in right.columns if c not in (right_key, "n_rows")])
-    j = left.join(r, F.col(left_key) == F.col("_rk"), how).drop("_rk")
-    return j.withColumn("joined_rows", F.col("n_rows") * F.coalesce("right_rows", F.lit(0))).withColumn("right_rows", F.coalesce("right_rows", F.lit(0)))
+    j = left.join(r, F.col(left_key) == F.col("_rk"), how)
+    if how == "full":
+        j = j.withColumn(left_key, F.coalesce(left_key, "_rk")).withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    return j.drop("_rk").withColumn("joined_rows", F.col("n_rows") * F.coalesce("right_rows", F.lit(0))).withColumn("right_rows", F.coalesce("right_rows", F.lit(0)))
+
+
+def heavy(references: DataFrame, symbols: DataFrame, share: float = 0.01) -> DataFrame:
+    """(target_id, reference_type, n_rows, stored_rows, joined_rows) of the pairs that hold at least ``share`` of
+    all rows as delivered, whether their target is stored or not. Both inputs are reduced to rows per key, the
+    states are joined in full, and no row is shuffled beyond its partial count."""
+    states = key_states(references.select("target_id", norm_type().alias("reference_type")), ["target_id", "reference_type"])
+    joined = eager_join(states, key_states(symbols.select("id"), ["id"]), "target_id", "id", "full")
+    total = references.agg(F.count("*").alias("n")).scalar()
+    return joined.where((F.col("n_rows") >= F.lit(share) * total) & (F.col("n_rows") > 0)).select("target_id", "reference_type", "n_rows", F.col("right_rows").alias("stored_rows"), "joined_rows")
 
 
 def per_key(references: DataFrame, symbols: DataFrame, share: float = 0.01) -> DataFrame:

@@ -49,7 +49,11 @@ def _per_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _per_key(spark, d).where("is_heavy").select("target_id", "reference_type")
+    return skew.heavy(load(spark, d, "symbol_references"), load(spark, d, "symbols")).select("target_id", "reference_type")
+
+
+def p4_heavy(spark: SparkSession, d: str) -> DataFrame:
+    return skew.heavy(load(spark, d, "symbol_references"), load(spark, d, "symbols"))
 
 
 def p4_per_key(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +66,7 @@ def p4_per_target_type(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_cascade, p1_report, p3_found, p3_hierarchy, p3_intervals, p3_descendants, p4_found, p4_per_key, p4_per_target_type)
+    for f in (p1_found, p1_cascade, p1_report, p3_found, p3_hierarchy, p3_intervals, p3_descendants, p4_found, p4_heavy, p4_per_key, p4_per_target_type)
 }
 
 _CURRENT = """
@@ -123,6 +127,9 @@ union all select id, root_id, cast(-1 as integer), null, null from ring""",
 anc(anc, id, distance) as (select parent, id, 1 from up where parent is not null and id in (select id from tree) union all select u.parent, a.id, a.distance + 1 from anc a join up u on u.id = a.anc where u.parent is not null)
 select anc as ancestor_id, id as descendant_id, cast(distance as integer) as distance from anc""",
     "p4_found": f"with {_STATES} select target_id, reference_type from refs group by 1, 2 having count(*) >= 0.01 * (select count(*) from refs)",
+    "p4_heavy": f"""with {_STATES}, stored as (select id, count(*) as n from symbols group by id),
+k as (select target_id, reference_type, count(*) as n_rows from refs group by 1, 2 having count(*) >= 0.01 * (select count(*) from refs))
+select target_id, reference_type, n_rows, coalesce(n, 0) as stored_rows, n_rows * coalesce(n, 0) as joined_rows from k left join stored s on s.id = k.target_id""",
     "p4_per_key": f"""with {_STATES},
 stored as (select id, count(*) as n from symbols group by id),
 k as (select target_id, reference_type, count(*) as n_rows, count(distinct source_id) as n_sources from refs group by 1, 2)

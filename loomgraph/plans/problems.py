@@ -16,7 +16,8 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d).where("kind = 'direct'").select("table_name", "field_name", "row_id")
+    found = integrity.direct_orphans(load(spark, d, "symbols"), load(spark, d, "symbol_references"), load(spark, d, "symbol_deletions"))
+    return found.select("table_name", "field_name", "row_id")
 
 
 def p1_cascade(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +92,7 @@ _CASCADE = f"""{_DIRECT},
 chain(id, level) as (
   select row_id, 0 from direct where table_name = 'symbols'
   union all select c.id, chain.level + 1 from chain join cur c on c.parent_id = chain.id
-    where c.id not in (select row_id from direct where table_name = 'symbols') and chain.level < 100),
+    where c.id not in (select row_id from direct where table_name = 'symbols') ),
 marks as (select id, min(level) + 1 as level from chain group by id),
 every as (
   select table_name, field_name, row_id, k, "at", 'direct' as kind, reason, 0 as level from direct

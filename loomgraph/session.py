@@ -16,7 +16,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
@@ -97,6 +97,13 @@ class Cuts:
         out._cut_path = path  # type: ignore[attr-defined]
         return out
 
+    def write_counted(self, df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+        """``write``, and the rows written (or the value of the aggregate ``what``), counted by the write itself."""
+        seen = Observation()
+        out = self.write(df.observe(seen, (F.count(F.lit(1)) if what is None else what).alias("n")))
+        # a plan that Spark finds to be empty has nothing to observe
+        return out, (seen.get.get("n") or 0)
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing will read any more."""
         path = getattr(df, "_cut_path", None)

@@ -26,14 +26,16 @@ broken by the greatest parent_id). Null names show as empty path steps.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomgraph.session import Cuts
 
-#: Siblings are placed bucket by bucket; a window never holds more than one bucket of one parent.
-SIBLING_BUCKETS = 64
+#: Siblings of a parent are placed in buckets of about so many, as their counted number asks for.
+SIBLINGS_A_BUCKET = 10_000
 
 
 def _digest(c: str):
@@ -68,27 +70,32 @@ def separate(cuts: Cuts, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
     inner = marked.where("kids is not null").select("n", "p", "kids")
     # inner children are nodes of the skeleton themselves; only leaf children are counted here
     inner_kids = inner.where("p is not null").groupBy("p").agg(F.count("*").alias("inner_kids")).withColumnRenamed("p", "n")
-    state = cuts.write(
-        inner.join(inner_kids, "n", "left").select("n", F.col("p").alias("jump"), (F.lit(1) + F.col("kids") - F.coalesce("inner_kids", F.lit(0))).alias("acc"))
+    # Every table of ``parts`` has rows (n, jump, acc): where jump is null they are shares of a finished node's
+    # size, else the nodes that still move. Only these are written again; finished nodes are never touched,
+    # what reaches them later is one more share.
+    moves = F.count(F.when(F.col("jump").isNotNull(), 1))
+    state, active = cuts.write_counted(
+        inner.join(inner_kids, "n", "left").select("n", F.col("p").alias("jump"), (F.lit(1) + F.col("kids") - F.coalesce("inner_kids", F.lit(0))).alias("acc")), moves
     )
-    active = state.where("jump is not null").count()
+    parts = [state]
     while active:
         moving = state.where("jump is not null")
         add = moving.groupBy(F.col("jump").alias("n")).agg(F.sum("acc").alias("add"))
-        target = state.select(F.col("n").alias("jump"), F.col("jump").alias("next"))
-        moved = moving.select("n", "jump").join(target, "jump").select("n", "next")
-        nxt = cuts.write(
-            state.select("n", "acc").join(add, "n", "left").join(moved, "n", "left")
-            .select("n", F.col("next").alias("jump"), (F.col("acc") + F.coalesce("add", F.lit(0))).alias("acc"))
-        )
-        cuts.drop(state)
+        target = moving.select(F.col("n").alias("jump"), F.col("jump").alias("next"))
+        reached = moving.join(add, "n", "full").select("n", "jump", (F.coalesce("acc", F.lit(0)) + F.coalesce("add", F.lit(0))).alias("acc"))
+        nxt, left = cuts.write_counted(reached.join(target, "jump", "left").select("n", F.col("next").alias("jump"), "acc"), moves)
         state = nxt
-        left = state.where("jump is not null").count()
+        parts.append(nxt)
         if left == active:
             break
         active = left
-    tree = inner.select("n", "p").join(state.where("jump is null").select("n", F.col("acc").alias("size")), "n")
-    cyclic = inner.select("n", "p").join(state.where("jump is not null").select("n"), "n", "left_semi") if active else inner.select("n", "p").where("false")
+    done = reduce(DataFrame.unionByName, (x.where("jump is null") for x in parts)).groupBy("n").agg(F.sum("acc").alias("size"))
+    moving = state.where("jump is not null").select("n")
+    tree = inner.select("n", "p").join(done, "n")
+    if active:  # shares of nodes that never finish are none of a tree
+        tree, cyclic = tree.join(moving, "n", "left_anti"), inner.select("n", "p").join(moving, "n", "left_semi")
+    else:
+        cyclic = inner.select("n", "p").where("false")
     return cuts.write(tree), cyclic, leaves
 
 
@@ -128,24 +135,28 @@ def chains(cuts: Cuts, tree: DataFrame, names: DataFrame | None) -> DataFrame:
     start = on.select("n", "p", "size", "heavy_size", F.coalesce("hp", "n").alias("head"), F.when(F.col("hp").isNotNull(), 1).otherwise(0).cast("long").alias("off"), F.col("hp").isNull().alias("done"))
     if names is not None:
         start = start.join(names, "n").withColumnRenamed("name", "seg")
-    state = cuts.write(start)
+    waits = F.count(F.when(~F.col("done"), 1))
+    state, moving = cuts.write_counted(start, waits)
     facts = state.select("n", "p", "size", "heavy_size")
     cols = ["n", "head", "off", "done"] + (["seg"] if names is not None else [])
-    state = state.select(*cols)
-    while not state.where("not done").isEmpty():
-        t = state.select(F.col("n").alias("head"), F.col("head").alias("head2"), F.col("off").alias("off2"), F.col("done").alias("done2"), *([F.col("seg").alias("seg2")] if names is not None else []))
-        moved = state.where("not done").join(t, "head").select(
+    finished, state = state.where("done").select(*cols), state.where("not done").select(*cols)
+    while moving:
+        t = finished.unionByName(state).select(F.col("n").alias("head"), F.col("head").alias("head2"), F.col("off").alias("off2"), F.col("done").alias("done2"), *([F.col("seg").alias("seg2")] if names is not None else []))
+        moved = state.join(t, "head").select(
             "n", F.col("head2").alias("head"), (F.col("off") + F.col("off2")).alias("off"), F.col("done2").alias("done"),
             *([F.concat_ws("/", "seg2", "seg").alias("seg")] if names is not None else []),
         )
-        # rows that point at a finished node are finished after this step
-        state = cuts.write(state.where("done").unionByName(moved))
-    return cuts.write(facts.join(state.drop("done"), "n"))
+        # rows that point at a finished node are finished after this step and are not written again
+        moved, moving = cuts.write_counted(moved, waits)
+        finished, state = finished.unionByName(moved.where("done")), moved.where("not done")
+    return cuts.write(facts.join(finished.drop("done"), "n"))
 
 
 def sibling_offsets(kids: DataFrame) -> DataFrame:
-    """(n, p, size) -> (n, p, light_off): sizes of the siblings before each node, summed in two levels."""
-    b = kids.withColumn("b", F.pmod(F.xxhash64("n"), F.lit(SIBLING_BUCKETS)).cast("int"))
+    """(n, p, size) -> (n, p, light_off): sizes of the siblings before each node, summed in two levels. A
+    parent has as many buckets as its children fill, so that no window grows with them."""
+    buckets = kids.groupBy("p").agg(F.ceil(F.count("*") / SIBLINGS_A_BUCKET).alias("buckets"))
+    b = kids.join(buckets, "p").withColumn("b", F.pmod(F.xxhash64("n"), F.col("buckets"))).drop("buckets")
     sums = b.groupBy("p", "b").agg(F.sum("size").alias("s"))
     base = sums.select("p", "b", (F.sum("s").over(W.partitionBy("p").orderBy("b")) - F.col("s")).alias("base"))
     inside = F.sum("size").over(W.partitionBy("p", "b").orderBy("n")) - F.col("size")
@@ -176,8 +187,8 @@ def place_chains(cuts: Cuts, placed: DataFrame, nodes: DataFrame, light: DataFra
             *([(F.col("base_pre") + F.col("up_off") + 1 + F.col("up_heavy") + F.col("light_off")).alias("base_pre")] if light is not None else []),
             *([F.concat("prefix", "up_seg", F.lit("/")).alias("prefix")] if with_path else []),
         )
-        frontier = cuts.write(step)
-        if frontier.isEmpty():
+        frontier, placed_now = cuts.write_counted(step)
+        if not placed_now:
             return done
         done = done.unionByName(frontier)
 

@@ -16,8 +16,9 @@ peak in another unit. Several limits of a source are kept, whatever their units.
 * ``weak``: ends like a whole text without punctuation (list entry, link, signature, reference);
 * ``whole``: everything else, in any case at the end of a sentence, block, table or tag.
 
-An open ending is a cut. A weak ending is one if the text has exactly the length of a limit of its
-source, or stops inside a word (its last word hardly occurs inside texts and begins known ones), or
+Limits are judged first: a text of exactly the length of a limit of its source is a cut unless its
+ending is whole, and a whole ending is tested more strictly there (below). Elsewhere an open ending is a
+cut, and a weak ending is one if it stops inside a word (its last word hardly occurs inside texts and begins known ones), or
 inside a customary closing line (it, or its shape, is a proper prefix of a far more frequent one). A list
 entry is open when the entry before it ends with a stop, when it is one word below longer entries, or
 when it breaks off after a sentence. A whole ending is a cut only at exactly the length of a limit, and
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomgraph.llm.text import norm_source
-from loomgraph.session import Cuts
+from loomgraph.session import Cuts, maybe_broadcast
 
 # Phrases that close an enumeration before an ellipsis.
 ENUMERATION_ENDS = ["and so on", "and so forth", "and more", "etc", "et cetera", "usw", "und so weiter", "etcétera", "y así sucesivamente", "et ainsi de suite"]
@@ -45,6 +46,8 @@ REFERENCE_WORDS = ["Refs", "Ref", "Fixes", "Closes", "Resolves", "See", "Related
 # Abbreviations that no sentence ends with.
 ABBREVIATIONS = ["e.g", "i.e", "cf", "vs", "viz", "bzw", "z.B", "d.h", "p. ej"]
 
+#: What ``\\s`` means to a regular expression, as characters to strip.
+BLANKS = " \t\n\x0b\f\r"
 ENTRY = r"^([-*+•]|\d+[.)])\s+\S"
 _DOTS = r"\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\.\.\.|…)$"
 #: A limit has at least this many texts, and this many times the mean of the lengths around it.
@@ -62,42 +65,45 @@ _TOKEN = r"[\p{L}\p{N}_][\p{L}\p{N}_./-]*"
 
 
 def _count(c: Column, piece: str) -> Column:
-    return (F.length(c) - F.length(F.replace(c, F.lit(piece), F.lit("")))) / len(piece)
+    """Occurrences of an ASCII piece; byte lengths are known without a walk over the text."""
+    return (F.octet_length(c) - F.octet_length(F.replace(c, F.lit(piece), F.lit("")))) / len(piece)
 
 
 def units(text: Column) -> Column:
     """Map of unit -> length of the text in it."""
-    lf = F.regexp_replace(text, "\r\n", "\n")
+    lf = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    chars, size = F.length(text), F.length(text) - _count(text, "\r\n")
     breaks, quotes = _count(lf, "\n"), _count(text, '"') + _count(text, "\\")
     entities = 4 * _count(text, "&") + 3 * (_count(text, "<") + _count(text, ">"))
-    wide = F.length(text) - F.length(F.regexp_replace(text, "[\\x{10000}-\\x{10FFFF}]", ""))
+    end = F.rtrim(text, F.lit(BLANKS))
+    dotted = end.endswith("...") | end.endswith("…") | end.endswith("]")
     pairs = {
-        "chars": F.length(text),
+        "chars": chars,
         "utf8": F.octet_length(text),
-        "utf16": F.length(text) + wide,
-        "entities": F.length(text) + entities,
-        "json": F.length(lf) + quotes + breaks,
-        "crlf": F.length(lf) + breaks,
-        "lf": F.length(lf),
-        "before_dots": F.length(F.regexp_replace(text, _DOTS, "")),
+        "utf16": F.octet_length(F.encode(text, "UTF-16BE")) / 2,
+        "entities": chars + entities,
+        "json": size + quotes + breaks,
+        "crlf": size + breaks,
+        "lf": size,
+        "before_dots": F.when(dotted, F.length(F.regexp_replace(text, _DOTS, ""))).otherwise(chars),
     }
     return F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v.cast("int"))])
 
 
-def endings(documents: DataFrame, *more: str) -> DataFrame:
-    """(doc_id, source, ending, last_line, last_word) of every non-empty text; with ``units`` its lengths."""
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("text"), "^\ufeff+", ""), "\r\n?", "\n"), r"\s+$", "")
-    d = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(norm_source(), F.lit("")).alias("source"), t.alias("t"), *([units(F.col("text")).alias("units")] if "units" in more else [])).where("t != ''")
+def endings(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, ending, last_line, last_word, closed, dotted, units) of every text, in one pass; the
+    ending is null for empty texts. Tests of the whole text stand behind cheap ones of its end."""
+    t = F.rtrim(F.replace(F.replace(F.ltrim(F.col("text"), F.lit("\ufeff")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), F.lit(BLANKS))
+    d = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.coalesce(norm_source(), F.lit("")).alias("source"), t.alias("t"), units(F.col("text")).alias("units"))
     d = d.withColumn("last_line", F.trim(F.substring_index("t", "\n", -1)))
     c, line = F.col("t"), F.col("last_line")
-    dots = c.rlike(_DOTS)
+    dots = line.rlike(_DOTS)
     listing = F.regexp_replace(c, _DOTS, "").rlike("(?i)\\b(" + "|".join(ENUMERATION_ENDS) + r")\.?\s*$")
-    in_fence = (_count(c, "```") % 2) == 1
+    in_fence = c.contains("```") & ((_count(c, "```") % 2) == 1)
     block = F.ltrim(c).startswith("/*")
     block_open = block & ~c.endswith("*/")
-    tick_open = (_count(F.replace(line, F.lit("```"), F.lit("")), "`") % 2) == 1
-    p_close = _count(c, "</p>")
-    para_open = (_count(c, "<p>") > p_close) & (p_close > 0)
+    tick_open = line.contains("`") & ((_count(F.replace(line, F.lit("```"), F.lit("")), "`") % 2) == 1)
+    para_open = c.contains("</p>") & (_count(c, "<p>") > _count(c, "</p>"))
     row = line.startswith("|")
     entry = line.rlike(ENTRY) & ~block
     before = F.trim(F.substring_index(F.substring_index(c, "\n", -2), "\n", 1))
@@ -109,7 +115,8 @@ def endings(documents: DataFrame, *more: str) -> DataFrame:
     heading = line.rlike(r"^#{1,6}\s")
     stop = line.rlike(r"""[.!?。！？]["'”’)\]»*_`]*$""")
     kind = (
-        F.when(in_fence | block_open | tick_open | para_open, "open")
+        F.when(c == "", None)
+        .when(in_fence | block_open | tick_open | para_open, "open")
         .when(dots, F.when(listing, "whole").otherwise("open"))
         .when(row, F.when(line.endswith("|") & (F.length(line) > 1), "whole").otherwise("open"))
         .when(stop & ~reference, "whole")
@@ -120,18 +127,22 @@ def endings(documents: DataFrame, *more: str) -> DataFrame:
         .when(heading & (F.instr(c, "\n") == 0), "weak")
         .otherwise("open")
     )
+    # what only whole endings at a limit are asked
     prose = line.rlike(r"(?<!\p{L})(?:\p{L}{2,}+,? ){3}") & ~entry & ~row & ~block & ~in_fence
     closed = prose & line.rlike(r"[;}\])\"”»>]$") & ~stop & ~line.rlike(r"(</[\w.:-]+>|/>|-->)$")
-    d = d.withColumn("closed", closed | line.rlike(r"(?i)\b(" + "|".join(x.replace(".", r"\.") for x in ABBREVIATIONS) + r")\.$"))
-    d = d.withColumn("dotted", F.regexp_extract(line, r"(?<![\p{L}\p{N}_./-])(" + _TOKEN + r"(?<!\.)\.)$", 1))
-    return d.select("doc_id", "source", kind.alias("ending"), "last_line", F.regexp_extract(line, r"([\p{L}]+)$", 1).alias("last_word"), *more)
+    closed = closed | line.rlike(r"(?i)\b(" + "|".join(x.replace(".", r"\.") for x in ABBREVIATIONS) + r")\.$")
+    dotted = F.regexp_extract(line, r"(?<![\p{L}\p{N}_./-])(" + _TOKEN + r"(?<!\.)\.)$", 1)
+    d = d.select("doc_id", "source", kind.alias("ending"), "last_line", closed.alias("_c"), dotted.alias("_d"), "units")
+    weak, whole = F.col("ending") == "weak", F.col("ending") == "whole"
+    return d.select(
+        "doc_id", "source", "ending", F.when(weak, F.col("last_line")).alias("last_line"), F.when(weak, F.regexp_extract("last_line", r"([\p{L}]+)$", 1)).alias("last_word"),
+        (whole & F.col("_c")).alias("closed"), F.when(whole, F.col("_d")).otherwise("").alias("dotted"), "units",
+    )
 
 
-def limits(documents: DataFrame) -> DataFrame:
-    """(source, unit, length, n, around, open_share): limits exposed by length peaks, each in its best
-    unit. At a limit many texts (a quarter at least) must also end open: a length that is merely frequent, as of one
-    text collected many times, is none."""
-    ends = endings(documents, "units")
+def _limits(store: Cuts, ends: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The limits of ``ends`` (source, unit, length, n, around, open_share, strength), the texts that lie at one
+    (doc_id, limit: its strongest) and the number of limits."""
     lengths = (
         ends.select("source", "ending", F.explode("units").alias("unit", "length"))
         .groupBy("source", "unit", "length").agg(F.count("*").alias("n"), F.count(F.when(F.col("ending") == "open", 1)).alias("n_open"))
@@ -141,31 +152,50 @@ def limits(documents: DataFrame) -> DataFrame:
         (F.col("n") >= MIN_PEAK) & (F.col("n") >= PEAK_FACTOR * F.col("around") + 2) & (4 * F.col("n_open") >= F.col("n"))
     )
     strength = F.struct((F.col("n") - F.col("around")).alias("excess"), F.expr("unit = 'chars'").alias("plain"), "unit", "length")
-    peaks = Cuts(documents.sparkSession, "limits").write(peaks.withColumn("strength", strength))
-    at = ends.select("doc_id", "source", F.explode("units").alias("unit", "length")).join(F.broadcast(peaks.select("source", "unit", "length", "strength")), ["source", "unit", "length"]).select("doc_id", "source", "strength").distinct()
+    peaks, count = store.write_counted(peaks.withColumn("strength", strength))
+    keys = maybe_broadcast(peaks.select("source", "unit", "length", "strength"), count)
+    at = store.write(ends.select("doc_id", "source", F.explode("units").alias("unit", "length")).join(keys, ["source", "unit", "length"]).select("doc_id", "source", "strength").distinct())
     own = at.groupBy("source", "strength").agg(F.count("*").alias("docs"))
     pairs = at.join(at.select("doc_id", "source", F.col("strength").alias("other")), ["doc_id", "source"]).where("other > strength and other.unit <> strength.unit")
     echoes = pairs.groupBy("source", "strength", "other").agg(F.count("*").alias("both")).join(own, ["source", "strength"]).where(F.col("both") >= ECHO_SHARE * F.col("docs")).select("source", "strength").distinct()
-    return peaks.join(echoes, ["source", "strength"], "left_anti").select(
-        "source", "unit", "length", "n", F.round("around", 6).alias("around"), F.round(F.col("n_open") / F.col("n"), 6).alias("open_share")
-    )
+    found = store.write(peaks.join(echoes, ["source", "strength"], "left_anti"))
+    held = at.join(maybe_broadcast(found.select("source", "strength"), count), ["source", "strength"], "left_semi").groupBy("doc_id").agg(F.max("strength").alias("limit"))
+    return found, held, count
+
+
+def _ends(store: Cuts, documents: DataFrame) -> DataFrame:
+    return store.write(endings(documents)).where("ending is not null")
+
+
+def limits(documents: DataFrame) -> DataFrame:
+    """(source, unit, length, n, around, open_share): limits exposed by length peaks, each in its best
+    unit. At a limit many texts (a quarter at least) must also end open: a length that is merely frequent, as of one
+    text collected many times, is none."""
+    store = Cuts(documents.sparkSession, "limits")
+    found = _limits(store, _ends(store, documents))[0]
+    return store.finish(found.select("source", "unit", "length", "n", F.round("around", 6).alias("around"), F.round(F.col("n_open") / F.col("n"), 6).alias("open_share")))
 
 
 def _cut_words(documents: DataFrame, weak: DataFrame) -> DataFrame:
     """Last words of weak endings that hardly occur inside texts and begin known words."""
-    inside = F.regexp_replace(F.regexp_replace("text", r"\s+$", ""), r"\p{L}+$", "")
-    words = F.array_distinct(F.regexp_extract_all(inside, F.lit(r"(?<![\p{L}\p{N}_./-])(\p{L}+)(?![\p{L}\p{N}_/-])"), F.lit(1)))
+    inside = F.regexp_replace(F.rtrim("text", F.lit(BLANKS)), r"(?<!\p{L})\p{L}++$", "")
+    words = F.array_distinct(F.regexp_extract_all(inside, F.lit(r"(?<![\p{L}\p{N}_./-])(\p{L}++)(?![\p{N}_/-])"), F.lit(1)))
     vocab = documents.where(F.col("text").isNotNull()).select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     last = weak.where("last_word != ''").select(F.col("last_word").alias("w")).distinct()
-    known = vocab.where((F.col("n") >= KNOWN_TEXTS) & (F.length("w") <= 64))
-    begun = known.select("n", F.explode(F.expr("transform(sequence(1, length(w)), i -> substring(w, 1, i))")).alias("w"))
-    begun = begun.groupBy("w").agg(F.max("n").alias("of"))
-    return last.join(begun, "w").join(vocab, "w", "left").where(F.coalesce("n", F.lit(0)) * BROKEN_FACTOR <= F.col("of")).select(F.col("w").alias("last_word"))
+    # prefixes of known words and the words themselves in one table, so that the texts are read once
+    begun = vocab.select(
+        F.inline(F.expr(f"""concat(array(struct(w, n as own, cast(0 as bigint) as of)),
+            transform(if(n >= {KNOWN_TEXTS} and length(w) > 1, sequence(1, length(w) - 1), array()), i -> struct(substring(w, 1, i) as w, cast(0 as bigint) as own, n as of)))"""))
+    )
+    begun = begun.join(last, "w", "left_semi").groupBy("w").agg(F.sum("own").alias("own"), F.max("of").alias("of"))
+    return begun.where((F.col("of") > 0) & (F.col("own") * BROKEN_FACTOR <= F.col("of"))).select(F.col("w").alias("last_word"))
 
 
 def _cut_tokens(documents: DataFrame, ends: DataFrame) -> DataFrame:
     """Last tokens with a dot (``foo.`` of ``foo.py``) behind which the texts go on more often than not."""
     last = ends.where("dotted != ''").select("dotted").distinct()
+    if last.isEmpty():  # nobody asks: the texts need not be read
+        return last
     inside = F.regexp_replace("text", r"(?<![\p{L}\p{N}_./-])" + _TOKEN + r"+\s*$", "")
     tokens = documents.where(F.col("text").isNotNull()).select(F.explode(F.array_distinct(F.regexp_extract_all(inside, F.lit("(" + _TOKEN + ")"), F.lit(1)))).alias("t")).where("contains(t, '.')")
     tokens = tokens.groupBy("t").agg(F.count("*").alias("n"))
@@ -197,27 +227,25 @@ def _cut_lines(weak: DataFrame) -> DataFrame:
 
 
 def cuts(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, reason) of every text that was cut."""
+    """(doc_id, source, reason, unit, length) of every text that was cut; unit and length are those of the limit
+    that exposed it, null where the ending alone did."""
     store = Cuts(documents.sparkSession, "truncation")
-    ends = store.write(endings(documents, "units", "closed", "dotted").where("ending != 'whole' or closed or dotted != ''"))
-    weak = ends.where("ending = 'weak'")
-    found = limits(documents).select("source", "unit", "length")
-    at = store.write(ends.select("doc_id", "source", F.explode("units").alias("unit", "length")).join(found, ["source", "unit", "length"], "left_semi").select("doc_id").distinct())
-    whole = ends.where("ending = 'whole'").join(at, "doc_id", "left_semi")
+    ends = _ends(store, documents)
+    held = store.write(_limits(store, ends)[1])
+    asked = ends.drop("units").where("ending != 'whole' or closed or dotted != ''").join(held, "doc_id", "left")
+    asked = store.write(asked.where("ending != 'whole' or limit is not null"))
     judged = (
-        ends.where("ending != 'whole'").unionByName(whole).drop("units").join(at.withColumn("at_limit", F.lit(True)), "doc_id", "left")
-        .join(_cut_words(documents, weak).withColumn("in_word", F.lit(True)), "last_word", "left")
-        .join(_cut_lines(weak).withColumn("in_line", F.lit(True)), "last_line", "left")
-        .join(_cut_tokens(documents, whole).withColumn("in_token", F.lit(True)), "dotted", "left")
+        asked.join(_cut_words(documents, asked.where("ending = 'weak' and limit is null")).withColumn("in_word", F.lit(True)), "last_word", "left")
+        .join(_cut_lines(asked.where("ending = 'weak'")).withColumn("in_line", F.lit(True)), "last_line", "left")
+        .join(_cut_tokens(documents, asked.where("ending = 'whole'")).withColumn("in_token", F.lit(True)), "dotted", "left")
     )
     reason = (
-        F.when(F.col("ending") == "open", F.when(F.col("at_limit"), "open ending at a limit").otherwise("open ending"))
-        .when(F.col("ending") == "whole", F.when(F.col("closed"), "inside a sentence at a limit").when(F.col("in_token"), "inside a token at a limit"))
-        .when(F.col("at_limit"), "entry at a limit")
+        F.when(F.col("limit").isNotNull(), F.when(F.col("ending") == "open", "open at a limit").when(F.col("ending") == "weak", "entry at a limit").when(F.col("closed"), "inside a sentence at a limit").when(F.col("in_token"), "inside a token at a limit"))
+        .when(F.col("ending") == "open", "open ending")
         .when(F.col("in_line"), "inside a closing line")
         .when(F.col("in_word"), "inside a word")
     )
-    return judged.select("doc_id", "source", reason.alias("reason")).where("reason is not null")
+    return store.finish(judged.select("doc_id", "source", reason.alias("reason"), F.col("limit.unit").alias("unit"), F.col("limit.length").alias("length")).where("reason is not null"))
 
 
 def rates(documents: DataFrame) -> DataFrame:

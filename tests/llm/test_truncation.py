@@ -28,21 +28,32 @@ def test_nulls_empty_and_repeats(spark):
     assert rate[None] == (3, 2) or rate[None] == (2, 2)
 
 
-@pytest.mark.parametrize("unit,length", [("chars", 120), ("utf8", 130), ("entities", 150)])
+SIZE = {
+    "chars": len, "utf8": lambda s: len(s.encode()), "utf16": lambda s: len(s.encode("utf-16-be")) // 2, "entities": lambda s: len(s) + 4 * s.count("&") + 3 * (s.count("<") + s.count(">")),
+    "json": lambda s: len(s) + s.count('"') + s.count("\\") + s.count("\n"), "crlf": lambda s: len(s) + s.count("\n"),
+}
+MARK = {"utf16": "\U0001f600", "json": '"', "crlf": "\n"}
+
+
+@pytest.mark.parametrize("unit,length", [("chars", 120), ("utf8", 130), ("utf16", 140), ("entities", 150), ("json", 160), ("crlf", 170)])
 def test_hidden_limit_in_its_unit(spark, unit, length):
-    """Texts stored in a field of ``length`` units: the limit and its unit come out, entries at it too."""
-    size = {"chars": len, "utf8": lambda s: len(s.encode()), "entities": lambda s: len(s) + 4 * s.count("&") + 3 * (s.count("<") + s.count(">"))}[unit]
-    rows = []
+    """Texts stored in a field of ``length`` units: the limit and its unit come out. One that ends in a list
+    entry is a cut by nothing but its length in that unit."""
+    size, rows = SIZE[unit], []
     for i in range(200):
-        text = "".join(("é" if (i + j) % (5 + i % 7) == 0 else "&" if (i * j) % 11 == 3 else "w") + ("ord " if j % 2 else "a") for j in range(80))
+        text = "".join((MARK.get(unit, "é") if (i + j) % (5 + i % 7) == 0 else ('"' if unit == "crlf" else "&") if (i * j) % 11 == 3 else "w") + ("ord " if j % 2 else "a") for j in range(80))
         n = length if i % 2 else 40 + i
         while size(text) > n:
             text = text[:-1]
         rows.append((i, text.rstrip() + ("" if size(text.rstrip()) == length else "."), "Src-A"))
-    rows.append((999, ("- " + "w" * 300)[:length] if unit != "utf8" else "- " + "w" * (length - 2), "src_a"))
-    lim = T.limits(frame(spark, rows)).collect()
-    assert [(r.source, r.unit, r.length) for r in lim] == [("src_a", unit, length)]
-    assert 999 in {r.doc_id for r in T.cuts(frame(spark, rows)).collect()}
+    entry = "We keep.\n\n- " + MARK.get(unit, "&").strip() + " one\n- two "
+    entry += "w" * (length - size(entry))
+    rows += [(999, entry, "src_a"), (998, entry + "w" * 7, "src_a"), (997, entry, "src_b")]
+    assert size(entry) == length
+    assert [(r.source, r.unit, r.length) for r in T.limits(frame(spark, rows)).collect()] == [("src_a", unit, length)]
+    got = {r.doc_id: (r.reason, r.unit, r.length) for r in T.cuts(frame(spark, rows)).collect()}
+    assert got[999] == ("entry at a limit", unit, length) and 998 not in got and 997 not in got
+    assert got[1] == ("open at a limit", unit, length)
 
 
 def test_cut_inside_word_and_closing_line(spark):

@@ -1,12 +1,16 @@
 """Graph patterns: one-hop and variable-length expansion, reachability, cycles, degrees, optional parts.
 
 Paths follow the usual pattern semantics: edges are unique within a path, nodes may repeat, and each
-path is a row. ``expand`` enumerates such paths and therefore demands an upper bound; where only the
-set of reached nodes is asked, ``reach`` keeps a frontier of distinct nodes and costs one join a level.
+path is a row. ``expand`` enumerates such paths and therefore demands an upper bound. Where only their
+number is asked, ``path_counts`` adds them up per end and level; where only the set of reached nodes is
+asked, ``reach`` keeps a frontier of distinct nodes and never expands a node twice for a start. Both can
+be told the ends that matter and then leave out whatever cannot come to one in the steps that remain.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,32 +51,105 @@ def expand(edges: DataFrame, start: DataFrame, max_len: int, min_len: int = 1, d
     return out
 
 
-def reach(edges: DataFrame, start: DataFrame, max_len: int, direction: str = "out", per_start: bool = True) -> DataFrame:
+def _to_go(cuts: Cuts, e: DataFrame, ends: DataFrame | None, max_len: int) -> DataFrame:
+    """Steps (a, b, ..) with ``to_go``, the least number of further steps to one of ``ends``; others are left out.
+    Without ``ends`` nothing is left out, and nothing written."""
+    if ends is None:
+        return e.withColumn("to_go", F.lit(0))
+    e = cuts.write(e)
+    near = ends.select(F.col("id").alias("b")).distinct().withColumn("to_go", F.lit(0))
+    for _ in range(1, max_len):  # a step keeps what it reached from and adds what leads there: one chain of joins
+        far = F.inline(F.array(F.struct("a", (F.col("to_go") + 1).alias("to_go")), F.struct(F.col("b").alias("a"), "to_go")))
+        near = e.join(near, "b").select(far).groupBy(F.col("a").alias("b")).agg(F.min("to_go").alias("to_go"))
+    return e.join(near, "b")
+
+
+def reach(edges: DataFrame, start: DataFrame, max_len: int, direction: str = "out", per_start: bool = True, ends: DataFrame | None = None) -> DataFrame:
     """Nodes within ``max_len`` steps: (start, end, distance), distance the least; the start itself only
-    when a cycle leads back to it. Without ``per_start`` the starts are one set (start is null)."""
+    when a cycle leads back to it. Without ``per_start`` the starts are one set (start is null). With
+    ``ends`` only these are returned."""
+    cuts = Cuts(edges.sparkSession, "reach")
     e = _oriented(edges, direction).select("a", "b").distinct()
-    root = start.select(F.col("id").alias("start") if per_start else F.lit(None).cast("string").alias("start"), F.col("id").alias("end"))
-    level, seen = root, None
+    e = cuts.write(_to_go(cuts, e, ends, max_len))
+    known = start.select(F.col("id").alias("start") if per_start else F.lit(None).cast("string").alias("start"), F.col("id").alias("end")).distinct()
+    known = known.select("start", "end", F.lit(0).alias("distance"), F.lit(1).alias("to_go"))
     for n in range(1, max_len + 1):
-        nxt = level.join(e, F.col("end") == F.col("a")).select("start", F.col("b").alias("end")).distinct()
-        nxt = nxt.withColumn("distance", F.lit(n))
-        seen = nxt if seen is None else seen.unionByName(nxt)
-        level = nxt.select("start", "end")
-    return seen.groupBy("start", "end").agg(F.min("distance").alias("distance"))
-
-
-def closure(edges: DataFrame, start: DataFrame, direction: str = "out", max_rounds: int = 10_000) -> DataFrame:
-    """All nodes reachable from a set of starts: (id, distance); a fixpoint over a written frontier."""
+        last = known.where(F.col("distance") == n - 1).select("start", "end")
+        step = last.join(e.where(F.col("to_go") <= max_len - n), F.col("end") == F.col("a")).select("start", F.col("b").alias("end"), F.lit(n).alias("distance"), "to_go")
+        # the starts themselves are no result; where a cycle leads back they get a distance of their own
+        known = (known.where("distance > 0") if n > 1 else known.where("false")).unionByName(step).groupBy("start", "end").agg(F.min("distance").alias("distance"), F.min("to_go").alias("to_go"))
+        if n % 2 == 0 and n < max_len:
+            known = cuts.write(known)
+    return cuts.finish((known if ends is None else known.where("to_go = 0")).select("start", "end", "distance"))
+
+
+def _cyclic(cuts: Cuts, edges: DataFrame, before: int) -> DataFrame:
+    """Edges (of which there are ``before``) among which all cycles lie: ends without a way in or out are peeled,
+    three times a round, as long as a round takes out a third of the edges. What stays too many is harmless."""
+    core = edges
+    while True:
+        core, left = cuts.write_counted(core_edges(core, 3))
+        if 3 * left > 2 * before or not left:
+            return core
+        before = left
+
+
+def path_counts(edges: DataFrame, start: DataFrame, max_len: int | None, min_len: int = 1, direction: str = "out", ends: DataFrame | None = None, all_cyclic: bool = False) -> DataFrame:
+    """Number of edge-unique paths from the ids of ``start``: (start, end, length, n_paths).
+
+    Paths that end in the same node after the same number of steps go on in the same ways, but for edges
+    that they may not use again; and only an edge on a cycle can be met again. So a level holds one row per
+    (start, end, set of cyclic edges used) with a count, and the paths themselves are never made; without
+    cycles that is one row per (start, end). ``max_len`` None goes on until no path is left, which edge
+    uniqueness ensures (with ``ends`` a bound is needed). ``all_cyclic`` tells that all edges lie on cycles."""
+    cuts = Cuts(edges.sparkSession, "paths")
+    e = _to_go(cuts, _oriented(edges, direction), ends, max_len or 1)
+    if all_cyclic or direction == "both":  # both ways along an edge is a cycle
+        e = e.withColumn("core", F.lit(True))
+    else:
+        e, count = cuts.write_counted(e)
+        core = _cyclic(cuts, e.select("eid", F.col("a").alias("src"), F.col("b").alias("dst")), count).select("eid", F.lit(True).alias("core"))
+        e = e.join(core, "eid", "left").withColumn("core", F.coalesce("core", F.lit(False)))
+        e = e if max_len == 1 else cuts.write(e)
+    level = start.groupBy("id").agg(F.count("*").alias("n")).select(F.col("id").alias("start"), F.col("id").alias("end"), F.array().cast("array<bigint>").alias("used"), "n")
+    size, n = 1, 0
+    found: list[DataFrame] = []
+    while size and (max_len is None or n < max_len):
+        n += 1
+        ways = e if ends is None else e.where(F.col("to_go") <= max_len - n)
+        step = level.join(ways, level["end"] == e["a"]).where(~(F.col("core") & F.array_contains("used", F.col("eid"))))
+        used = F.when(F.col("core"), F.array_sort(F.concat("used", F.array("eid")))).otherwise(F.col("used"))
+        level = step.select("start", F.col("b").alias("end"), used.alias("used"), "n", "to_go").groupBy("start", "end", "used", "to_go").agg(F.sum("n").alias("n"))
+        if max_len is None or (n % 2 == 0 and n < max_len):  # with a bound every second level is enough
+            level, size = cuts.write_counted(level)
+        if n >= min_len and size:
+            found.append((level if ends is None else level.where("to_go = 0")).groupBy("start", "end").agg(F.sum("n").alias("n_paths")).select("start", "end", F.lit(n).alias("length"), "n_paths"))
+        level = level.drop("to_go")
+    out = reduce(DataFrame.unionByName, found) if found else level.select("start", "end", F.lit(0).alias("length"), F.col("n").alias("n_paths")).where("false")
+    return cuts.finish(out)
+
+
+def cycle_counts(edges: DataFrame, max_len: int, min_len: int = 2) -> DataFrame:
+    """``(m)-[*min..max]->(m)`` counted: (id, length, n_cycles), every rotation at its own node."""
+    cuts = Cuts(edges.sparkSession, "cycles")
+    e, count = cuts.write_counted(edges.select("eid", "src", "dst"))
+    core = _cyclic(cuts, e, count)
+    n = path_counts(core, core.select(F.col("src").alias("id")).distinct(), max_len, min_len, all_cyclic=True).where("start = end")
+    return n.select(F.col("start").alias("id"), "length", F.col("n_paths").alias("n_cycles"))
+
+
+def closure(edges: DataFrame, start: DataFrame, direction: str = "out") -> DataFrame:
+    """All nodes reachable from a set of starts: (id, distance); a fixpoint over a written frontier, which
+    ends when a round reaches nothing new."""
     cuts = Cuts(start.sparkSession, "closure")
     e = cuts.write(_oriented(edges, direction).select("a", "b").distinct())
-    frontier = cuts.write(start.select("id").distinct().withColumn("distance", F.lit(0)))
-    origin, found, size, n = frontier, None, frontier.count(), 0
-    while size and n < max_rounds:
+    frontier, size = cuts.write_counted(start.select("id").distinct().withColumn("distance", F.lit(0)))
+    origin, found, n = frontier, None, 0
+    while size:
         n += 1
         step = e.join(maybe_broadcast(frontier.select(F.col("id").alias("a")), size), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        step = step if found is None else step.join(found, "id", "left_anti")
-        frontier = cuts.write(step.withColumn("distance", F.lit(n)))
-        size = frontier.count()
+        step = step if found is None else step.join(found.select("id"), "id", "left_anti")
+        frontier, size = cuts.write_counted(step.withColumn("distance", F.lit(n)))
         if size:
             found = frontier if found is None else found.unionByName(frontier)
     return cuts.finish(found if found is not None else origin.where("false"))
@@ -112,12 +189,12 @@ def lacking_edge(nodes: DataFrame, edges: DataFrame, end: str) -> DataFrame:
 
 
 def neighbours(g: PropertyGraph, start: DataFrame, *types: str) -> DataFrame:
-    """Two optional parts at once: distinct names of out- and in-neighbours, joined by commas; a start
-    without any keeps its row. Each side is aggregated before it is joined, so sides never multiply."""
-    names = g.nodes.select(F.col("id").alias("other"), "name")
+    """Two optional parts at once: (.., direction, other) with the distinct names of out- and in-neighbours, one
+    row each, so that a hub's neighbours are never gathered; a start without any keeps one row of nulls."""
+    names = g.nodes.select(F.col("id").alias("_o"), F.col("name").alias("other"))
 
-    def side(a: str, b: str, out: str) -> DataFrame:
-        e = g.edge(*types).select(F.col(a).alias("id"), F.col(b).alias("other")).join(start.select("id"), "id", "left_semi")
-        return e.join(names, "other").groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias(out))
+    def side(a: str, b: str, direction: str) -> DataFrame:
+        e = g.edge(*types).select(F.col(a).alias("id"), F.col(b).alias("_o")).join(start.select("id"), "id", "left_semi")
+        return e.join(names, "_o").select("id", F.lit(direction).alias("direction"), "other").distinct()
 
-    return start.join(side("src", "dst", "depends_on"), "id", "left").join(side("dst", "src", "used_by"), "id", "left")
+    return start.join(side("src", "dst", "out").unionByName(side("dst", "src", "in")), "id", "left")

@@ -11,6 +11,13 @@ from loomgraph.operators.staging import insert_first
 RESOLVABLE = ["class", "interface", "trait", "function", "namespace", "enum"]
 BUILTIN_TYPES = ["int", "string", "bool", "float", "array", "object", "void", "mixed", "null", "resource", "callable"]
 SELF_WORDS = ["self", "static"]
+# Parts of the project's root namespace that unresolved short names are tried in, in order.
+FALLBACK_PARTS = ["Core", "Entities", "Services", "Controllers", "Repositories", "Tools", "ORM", "Modules\\Crm", "Classes"]
+
+
+def fallback_namespaces(root: str) -> list[str]:
+    """The nine namespaces under ``root`` that a name is tried in before its last part alone is looked for."""
+    return [f"{root}\\{part}" for part in FALLBACK_PARTS]
 
 
 def clean_type(c: str | Column) -> Column:
@@ -61,11 +68,12 @@ def resolve(refs: DataFrame, nodes: DataFrame, fallback: list[str] | None = None
     return hits.groupBy("ref_id").agg(F.min(F.struct("prio", "target_id")).alias("b")).select("ref_id", F.col("b.target_id").alias("target_id"), F.col("b.prio").alias("prio"))
 
 
-def externals(refs: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Placeholder symbols (id, name, type, file_path) for names that resolve to nothing."""
+def externals(refs: DataFrame, resolved: DataFrame, own_root: str | None = None) -> DataFrame:
+    """Placeholder symbols (id, name, type, file_path) for names that resolve to nothing. Names under the
+    project's ``own_root`` should have been found and are marked ``<unresolved>`` for review."""
     lost = refs.join(resolved.select("ref_id"), "ref_id", "left_anti").where("name is not null").select(F.ltrim("name", F.lit("\\")).alias("name")).distinct()
     kind = F.when(F.col("name").contains("Interface"), "interface").when(F.col("name").contains("Trait"), "trait").otherwise("class")
-    return lost.select(F.concat(F.lit("external_"), F.md5("name")).alias("id"), "name", kind.alias("type"), F.lit("<external>").alias("file_path"))
+    return lost.select(F.concat(F.lit("external_"), F.md5("name")).alias("id"), "name", kind.alias("type"), (F.lit("<external>") if own_root is None else F.when(F.col("name").startswith(own_root), "<unresolved>").otherwise("<external>")).alias("file_path"))
 
 
 def members(refs: DataFrame, resolved: DataFrame, nodes: DataFrame, member: str, kind: str) -> DataFrame:

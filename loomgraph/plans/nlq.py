@@ -43,6 +43,7 @@ TEMPLATES = [
     Template(r"(what|which|who).*(call|invoke|use).*(\w+)", "callers", limit=20, extract=r"(call|invoke|use)\s+(\w+)", edges=("CALLS",)),
     Template(r"(where|which file).*(class|function|method).*(\w+)", "definition", limit=10, extract=r"(class|function|method)\s+(\w+)"),
 ]
+# Words that stand for each other in a question.
 SYNONYMS = {
     "email": ["email", "mail", "smtp", "mailer", "message"],
     "auth": ["auth", "login", "authenticate", "session", "token", "credential"],
@@ -52,6 +53,7 @@ SYNONYMS = {
     "error": ["error", "exception", "throw", "catch", "handle", "fail"],
     "validate": ["validate", "validation", "sanitize", "filter", "check", "verify"],
 }
+# The sample questions.
 QUESTIONS = [
     "How is email sent?", "Where is user authentication handled?", "What validates user input?", "How are database queries executed?", "What are the API endpoints?",
     "How are errors handled?", "Which classes extend BaseEntity?", "What calls the save method?", "Where is the User class defined?", "Show me the authentication controllers",

@@ -41,6 +41,15 @@ def p3_intervals(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.hierarchy(load(spark, d, "symbols")).where("depth >= 0").select("id", "root_id", "pre", "last")
 
 
+def p3_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Per tree what its intervals must satisfy: they number the nodes without a gap, and their lengths add up
+    to the depths."""
+    h = hierarchy.hierarchy(load(spark, d, "symbols")).where("depth >= 0")
+    return h.groupBy("root_id").agg(
+        F.count("*").alias("nodes"), F.min("pre").alias("first"), F.max("last").alias("last"), F.countDistinct("pre").alias("numbers"), F.sum(F.col("last") - F.col("pre")).alias("below"), F.max("depth").cast("int").alias("deepest")
+    )
+
+
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(load(spark, d, "symbols"))
 
@@ -67,7 +76,7 @@ def p4_per_target_type(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_cascade, p1_report, p3_found, p3_hierarchy, p3_intervals, p3_descendants, p4_found, p4_heavy, p4_per_key, p4_per_target_type)
+    for f in (p1_found, p1_cascade, p1_report, p3_found, p3_hierarchy, p3_intervals, p3_trees, p3_descendants, p4_found, p4_heavy, p4_per_key, p4_per_target_type)
 }
 
 _CURRENT = """
@@ -124,6 +133,7 @@ anc(anc, id) as (select parent, id from up where parent is not null and id in (s
 n as (select anc, count(*) as n from anc group by anc)
 select t.id, root_id, cast(depth as integer) as depth, path, coalesce(n.n, 0) as n_descendants from tree t left join n on n.anc = t.id
 union all select id, root_id, cast(-1 as integer), null, null from ring""",
+    "p3_trees": f"""with recursive {_DEPTHS} select root_id, count(*) as nodes, cast(0 as bigint) as first, count(*) - 1 as last, count(*) as numbers, cast(sum(depth) as bigint) as below, cast(max(depth) as integer) as deepest from tree group by 1""",
     "p3_descendants": f"""with recursive {_DEPTHS},
 anc(anc, id, distance) as (select parent, id, 1 from up where parent is not null and id in (select id from tree) union all select u.parent, a.id, a.distance + 1 from anc a join up u on u.id = a.anc where u.parent is not null)
 select anc as ancestor_id, id as descendant_id, cast(distance as integer) as distance from anc""",

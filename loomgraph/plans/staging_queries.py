@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from loomgraph.functions import labels as L
 from loomgraph.functions import paths
@@ -358,6 +359,7 @@ def d01_ids(spark, d):
 
 _NL = {
     0: ("contains(low, 'email') or contains(low, 'mail') or contains(low, 'smtp') or contains(low, 'send')", "type in ('class', 'method', 'function')", "case when contains(low, 'send') then 0 else 1 end, case when contains(low, 'email') then 0 else 1 end", "mail sending"),
+    1: ("contains(low, 'auth') or contains(low, 'login') or contains(low, 'authenticate') or contains(low, 'session')", "type in ('class', 'method', 'function')", "case when type = 'class' then 0 else 1 end, case when contains(low, 'auth') then 0 else 1 end", "authentication"),
     2: ("contains(low, 'validat') or contains(low, 'sanitiz') or contains(low, 'filter') or contains(low, 'check')", "type in ('class', 'method', 'function')", "case when contains(low, 'validat') then 0 else 1 end", "input validation"),
     3: ("contains(low, 'query') or contains(low, 'repository') or contains(low, 'database') or contains(low, 'entity') or contains(low, 'orm')", "type in ('class', 'method')", "case when type = 'class' then 0 else 1 end, case when contains(low, 'repository') then 0 else 1 end", "data access"),
     4: ("contains(low, 'controller') or contains(low, 'action') or contains(low, 'api') or contains(low, 'endpoint')", "type in ('class', 'method')", "case when type = 'class' and contains(low, 'controller') then 0 else 1 end", "interfaces"),
@@ -478,3 +480,70 @@ def x27_synthetic_types(spark, d):
 where contains(low, 'basket') or contains(low, 'gate') or contains(low, 'ledger') or contains(low, 'the') order by type, name, id limit 30""")
 def q50_keyword_search(spark, d):
     return ask(graph(spark, d), "Ledger gate of the basket")
+
+
+_SPACES = [f"Orvane{chr(92)}{part}" for part in R.FALLBACK_PARTS]
+_FALLBACK = _RESOLVED.replace("),\nknown as", " " + " ".join(f"union all select ref_id, {5 + i}, '{space}' || {_BS} || name from refs where not starts_with(name, {_BS})" for i, space in enumerate(_SPACES)) + "),\nknown as").replace("r.ref_id, 5, k.id", f"r.ref_id, {5 + len(_SPACES)}, k.id")
+
+
+@query(f"with {_WRITTEN}, {_FALLBACK} select ref_id, id as target_id, cast(prio as integer) as prio from best where rn = 1")
+def r04_fallback(spark, d):
+    return R.resolve(*_written(spark, d), fallback=R.fallback_namespaces("Orvane"))
+
+
+@query(f"""with {_CLASSREFS}, {_FALLBACK}, lost as (select distinct ltrim(name, {_BS}) as name from refs where ref_id not in (select ref_id from best))
+select 'external_' || md5(name) as id, name, case when contains(name, 'Interface') then 'interface' when contains(name, 'Trait') then 'trait' else 'class' end as type, case when starts_with(name, 'Orvane') then '<unresolved>' else '<external>' end as file_path from lost""")
+def r05_unresolved(spark, d):
+    refs, now = _class_refs(spark, d)
+    return R.externals(refs, R.resolve(refs, now, fallback=R.fallback_namespaces("Orvane")), own_root="Orvane")
+
+
+@query(f"with {N} select n.id, n.name, n.type, n.file_path from n where id in (select symbol_id from symbol_deletions)")
+def s13_by_id(spark, d):
+    """Lookups by id: the ids asked for are those of the removal log."""
+    asked = load(spark, d, "symbol_deletions").select(F.col("symbol_id").alias("id"))
+    return graph(spark, d).nodes.select("id", "name", "type", "file_path").join(asked, "id", "left_semi")
+
+
+@query(f"with {N} select file_path, cast(row_number() over (partition by file_path order by line_number nulls first, id) as integer) as place, id, name from n where file_path in (select file_path from file_hashes) and type not in ('file', 'directory')")
+def s13_of_file(spark, d):
+    """Symbols of the files that were parsed, in the order of their lines."""
+    asked = load(spark, d, "file_hashes").select("file_path")
+    n = graph(spark, d).nodes.where("type not in ('file', 'directory')").join(asked, "file_path", "left_semi")
+    return n.select("file_path", F.row_number().over(W.partitionBy("file_path").orderBy("line_number", "id")).alias("place"), "id", "name")
+
+
+@query(f"with {E} select src, dst, type from e where src is not null and dst is not null")
+def s16_script_reader(spark, d):
+    """Relationship statements as written, read again."""
+    lines = sinks.script_edges(graph(spark, d).edges.where("src is not null and dst is not null"))
+    return sinks.relationships(lines.select(F.col("line").alias("value")))
+
+
+_HOOKS = "case id % 6 " + " ".join(f"when {i} then '{k}'" for i, k in enumerate(metadata.HOOK_KEYS)) + " end"
+
+
+@query(f"""select distinct config_file, {_HOOKS} as config_key, class_name from config_references where reference_type in ('hook', 'service') and config_file is not null and regexp_full_match(class_name, '[A-Z][A-Za-z0-9_\\\\]+') and contains(class_name, {_BS})""")
+def x29_hooks(spark, d):
+    """Hook lists of metadata documents, which are put together from the registered hooks and services."""
+    rows = load(spark, d, "config_references").where("reference_type in ('hook', 'service') and config_file is not null").select("config_file", F.expr(_HOOKS).alias("k"), "class_name")
+    lists = rows.groupBy("config_file", "k").agg(F.collect_set("class_name").alias("names"))
+    docs = lists.groupBy("config_file").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "names")))).alias("json"))
+    return metadata.hooks(docs)
+
+
+@query(f"with {_CLASSREFS}, {_RESOLVED} select b.id as base_id, c.id, c.name from best b join cs c on c.id = b.ref_id where rn = 1")
+def j10_subclasses(spark, d):
+    """Classes by the class they extend, its written name resolved."""
+    refs, now = _class_refs(spark, d)
+    return R.resolve(refs, now).join(now.select(F.col("id").alias("ref_id"), "name"), "ref_id").select(F.col("target_id").alias("base_id"), F.col("ref_id").alias("id"), "name")
+
+
+@query("""with r as (select *, row_number() over (partition by source_id, target_id, line_number, column_number, reference_type order by id) as rn from symbol_references)
+select upper(replace(reference_type, '-', '_')) as type, cast(count(*) as bigint) as delivered, cast(count(distinct id) as bigint) as kept from r group by 1""")
+def k11_bag_insert(spark, d):
+    """Appended as delivered, repeats and all, against what an insert by id keeps."""
+    r = load(spark, d, "symbol_references").select("id", edge_type().alias("type"))
+    bag = S.union_all([r.where("id % 2 = 0"), r.where("id % 2 <> 0")])
+    kept = _count(bag.distinct(), "type", name="kept")
+    return _count(bag, "type", name="delivered").join(kept, "type").select("type", "delivered", "kept")

@@ -1,7 +1,9 @@
 """Session access, table loading and lineage cuts.
 
 Lineage is cut with tables written to the shared folder that the cluster names in
-``spark.checkpoint.dir``; a private folder is used only where that setting is absent (tests, laptops).
+``spark.checkpoint.dir``; a private folder is used only where that setting is absent and the session is
+local (tests, laptops): on a cluster a missing setting is an error. Tables that no result reads are
+deleted when the operator returns, the others by ``clean`` or when the program ends.
 A written table survives the loss of executors, keeps its column statistics (so Catalyst can size
 joins) and is computed once.
 """
@@ -10,6 +12,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_BASES: dict[str, list[str]] = {}
 
 
 def get_spark(cpus: str | int = "*", app: str = "loomgraph", **conf: str) -> SparkSession:
@@ -68,6 +72,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
     if app not in _LOCAL:
         private = tempfile.mkdtemp(prefix="loomgraph-cut-")
         atexit.register(shutil.rmtree, private, ignore_errors=True)
@@ -75,6 +81,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete the cut tables of this application; results that were not consumed can no longer be read."""
+    app = spark.sparkContext.applicationId
+    for base in _BASES.pop(app, []):
+        p = spark._jvm.org.apache.hadoop.fs.Path(base)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _clean_all() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        clean(spark)
+
+
+atexit.register(_clean_all)
+
+
 class Cuts:
     """Tables written by one run of an operator; superseded ones can be dropped while it goes on."""
 
@@ -82,6 +105,7 @@ class Cuts:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        _BASES.setdefault(spark.sparkContext.applicationId, []).append(self.base)
 
     def write(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         """Write ``df`` and return it as a scan, so that later plans start from files."""

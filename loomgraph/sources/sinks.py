@@ -33,13 +33,19 @@ def write_script(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     script_edges(edges).write.mode("overwrite").text(f"{path}/edges")
 
 
-def read_relationships(spark: SparkSession, path: str) -> DataFrame:
-    """(src, dst, type) of the MATCH lines of a script; other lines are ignored."""
+def relationships(lines: DataFrame) -> DataFrame:
+    """(src, dst, type) of the MATCH lines in a column ``value``; other lines are ignored."""
     line = r"^\s*MATCH\s+\(\w+[^{]*\{id:\s*'((?:[^'\\]|\\.)*)'\}\)\s*,\s*\(\w+[^{]*\{id:\s*'((?:[^'\\]|\\.)*)'\}\)\s*(?:CREATE|MERGE)\s+\(\w+\)-\[\w*:(\w+)[^\]]*\]->"
     plain = lambda i: F.regexp_replace(F.regexp_extract("value", line, i), r"\\(.)", "$1")
-    return spark.read.text(path).where(F.col("value").rlike(line)).select(plain(1).alias("src"), plain(2).alias("dst"), F.regexp_extract("value", line, 3).alias("type"))
+    return lines.where(F.col("value").rlike(line)).select(plain(1).alias("src"), plain(2).alias("dst"), F.regexp_extract("value", line, 3).alias("type"))
+
+
+def read_relationships(spark: SparkSession, path: str) -> DataFrame:
+    """``relationships`` of the text files under a path."""
+    return relationships(spark.read.text(path))
 
 
+# Column headers of the bulk-load format (``id:ID``, ``:LABEL``, ``:START_ID``, ``:END_ID``, ``:TYPE``, ``:int``).
 def csv_nodes(nodes: DataFrame) -> DataFrame:
     """Bulk-load rows of the exported label groups; ``label`` is the group."""
     return nodes.withColumn("_l", labels("csv")).where("_l is not null").select(

@@ -10,7 +10,8 @@ counts once, by its smallest doc_id among the target sources.
    spread over the others in proportion (``feasible_share``) and it is reported with 0.
 3. A source needs c = share x size / tokens copies of each of its texts. All texts get floor(c)
    whole copies; the rest is a sample with inclusion probabilities p_i: proportional to ``weight``
-   (equal by default), capped at 1, and such that the expected tokens are the missing ones.
+   (equal by default; the queries use ``size_weight``), capped at 1, and such that the expected tokens
+   are the missing ones.
 4. Pareto order sampling: a text's rank is [u/(1-u)] / [p/(1-p)], u being a hash of the seed and the
    text. The texts of smallest rank are taken up to the missing tokens. The sum along the ranks is
    made in two levels, bins of ranks and then inside the one bin where the sum is reached, so no
@@ -43,6 +44,12 @@ def _unit(seed: int, key: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
+def size_weight() -> Column:
+    """Weight of a text: the square root of its length, so that fragments do not crowd out whole documents
+    while every text keeps a chance."""
+    return F.sqrt(F.length("text"))
+
+
 def unique_texts(documents: DataFrame, targets: DataFrame, tokenizer: str | None, weight: Column | None) -> DataFrame:
     """(doc_id, source, key, tokens, weight): one row per text of a target source."""
     wanted = targets.select(norm_source().alias("source")).where("source is not null").distinct()
@@ -88,7 +95,7 @@ def _rates(texts: DataFrame, plan: list[dict]) -> None:
     """Rate so that the capped probabilities min(1, rate x weight) sum to the wanted tokens."""
     for r in plan:
         r["rate"] = r["sampled"] / r["mass"] if r["mass"] > 0 else 0.0
-    for _ in range(50):
+    while True:  # a round caps at least one more text, or ends
         rate = F.create_map(*[x for r in plan for x in (F.lit(r["source"]), F.lit(r["rate"]))])[F.col("source")] if plan else F.lit(0.0)
         full = F.col("weight") * rate >= 1
         over = {x["source"]: x for x in texts.groupBy("source").agg(F.sum(F.when(full, F.col("tokens"))).alias("full"), F.sum(F.when(~full, F.col("tokens") * F.col("weight"))).alias("rest")).collect()}

@@ -64,6 +64,23 @@ def test_inclusion_follows_weights(spark):
     assert 3 < n[0] / n[1] < 5.5
 
 
+def test_inclusion_frequencies_of_the_queries_weight(spark):
+    """Over many seeds every class of equal texts is taken as often as its probability says."""
+    rows = [(i, f"number {i:04d} " + "word " * (4 if i % 2 else 79), "a", -1, "x") for i in range(300)]
+    texts, targets = spark.createDataFrame(rows, DOC), spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    tokens, taken = {}, {0: 0, 1: 0}
+    for seed in range(6):
+        chosen, shares = M.mix(texts, targets, total_tokens=4000, seed=seed, weight=M.size_weight())
+        for r in chosen.collect():
+            taken[r.doc_id % 2] += 1
+            tokens[r.doc_id % 2] = r.tokens
+    length = {0: len(rows[0][1]), 1: len(rows[1][1])}
+    rate = 4000 / sum(150 * tokens[k] * length[k] ** 0.5 for k in (0, 1))
+    for k in (0, 1):
+        expected = 6 * 150 * rate * length[k] ** 0.5
+        assert abs(taken[k] - expected) < 4 * expected**0.5, (k, taken[k], expected)
+
+
 def test_given_size_and_whole_copies(spark):
     rows = docs(spark, {"a": 50, "b": 50})
     chosen, shares = run(spark, rows, [("a", 0.8, 9), ("b", 0.2, 9)], total_tokens=3000)

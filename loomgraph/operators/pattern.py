@@ -106,11 +106,15 @@ def path_counts(edges: DataFrame, start: DataFrame, max_len: int | None, min_len
     e = _to_go(cuts, _oriented(edges, direction), ends, max_len or 1)
     if all_cyclic or direction == "both":  # both ways along an edge is a cycle
         e = e.withColumn("core", F.lit(True))
+    elif max_len is not None and max_len <= 3:
+        # within three steps an edge comes again only by a loop or by the way back
+        back = e.select(F.col("a").alias("b"), F.col("b").alias("a")).distinct().withColumn("core", F.lit(True))
+        e = cuts.write(e.join(back, ["a", "b"], "left").withColumn("core", F.coalesce("core", F.lit(False))))
     else:
         e, count = cuts.write_counted(e)
         core = _cyclic(cuts, e.select("eid", F.col("a").alias("src"), F.col("b").alias("dst")), count).select("eid", F.lit(True).alias("core"))
         e = e.join(core, "eid", "left").withColumn("core", F.coalesce("core", F.lit(False)))
-        e = e if max_len == 1 else cuts.write(e)
+        e = cuts.write(e)
     level = start.groupBy("id").agg(F.count("*").alias("n")).select(F.col("id").alias("start"), F.col("id").alias("end"), F.array().cast("array<bigint>").alias("used"), "n")
     size, n = 1, 0
     found: list[DataFrame] = []
@@ -158,7 +162,9 @@ def closure(edges: DataFrame, start: DataFrame, direction: str = "out") -> DataF
 def core_edges(edges: DataFrame, rounds: int) -> DataFrame:
     """Edges that can lie on a cycle: ends without a way in or out are peeled ``rounds`` times."""
     for _ in range(rounds):
-        edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        ends = edges.select(F.inline(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))))
+        inner = ends.groupBy("id").agg(F.max("o").alias("o"), F.max("i").alias("i")).where("o = 1 and i = 1")
+        edges = edges.join(inner.select(F.col("id").alias("src")), "src", "left_semi").join(inner.select(F.col("id").alias("dst")), "dst", "left_semi")
     return edges
 
 

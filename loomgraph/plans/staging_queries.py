@@ -532,7 +532,7 @@ def x29_hooks(spark, d):
     return metadata.hooks(docs)
 
 
-@query(f"with {_CLASSREFS}, {_RESOLVED} select b.id as base_id, c.id, c.name from best b join cs c on c.id = b.ref_id where rn = 1")
+@query(f"with {_CLASSREFS}, {_RESOLVED} select b.id as base_id, c.id, c.name from best b join cs c on c.id = b.ref_id where b.rn = 1")
 def j10_subclasses(spark, d):
     """Classes by the class they extend, its written name resolved."""
     refs, now = _class_refs(spark, d)

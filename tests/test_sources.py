@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import paths
@@ -58,7 +59,8 @@ def test_python_reader():
     assert {("class", "A"), ("method", "f"), ("variable", "Y"), ("import", "os"), ("import", "a.b")} <= pairs(rows, "symbol")
     assert ("variable", "_x") not in pairs(rows, "symbol")
     assert {("EXTENDS", "B"), ("CALLS", "os.path.join"), ("CALLS", "g")} <= pairs(rows, "reference") and ("CALLS", "print") not in pairs(rows, "reference")
-    assert X.python("/a/m.py", "def (:") == []
+    with pytest.raises(SyntaxError):
+        X.python("/a/m.py", "def (:")
 
 
 def test_script_reader():
@@ -143,3 +145,25 @@ def test_stream_ingests_changed_files_only(spark, tmp_path):
     run()
     got = {(r.file_path, r.name, r.batch) for r in ingest.latest_rows(spark, f"{tmp_path}/t").collect()}
     assert got == {("/a.py", "A2", 1), ("/b.py", "B", 0)}
+
+
+def test_metadata_documents_of_a_tree(spark, tmp_path, rows):
+    at = tmp_path / "app" / "Resources" / "metadata" / "hooks"
+    at.mkdir(parents=True)
+    (at / "a.json").write_text('{"onLoginHookClassNameList": ["__APPEND__", "App\\\\Hook\\\\A"], "x": "App\\\\B"}')
+    (tmp_path / "app" / "other.json").write_text('{"onLoginHookClassNameList": ["App\\\\Hook\\\\Z"]}')
+    docs = metadata.read_metadata(spark, str(tmp_path))
+    assert [x[0].endswith("/Resources/metadata/hooks/a.json") for x in rows(docs, "config_file")] == [True]
+    assert rows(metadata.hooks(docs), "config_key", "class_name") == [("onLoginHookClassNameList", "App\\Hook\\A")]
+
+
+def test_a_file_that_cannot_be_read_gives_one_error_row(spark, rows):
+    from loomgraph.sources import extract
+
+    body = " + ".join(f"part{i}(x)" for i in range(90))
+    df = spark.createDataFrame([("/a.py", "x = (", 1), ("/b.py", "def f(): pass", 1), ("/c.js", f"const g = (x) =>\n  {body} + last(x);\nother(y);", 1)], "file_path string, content string, type int")
+    got = extract.extract(df)
+    assert rows(extract.errors_of(got), "file_path", "error", "line_number") == [("/a.py", "SyntaxError", 1)]
+    assert [r.file_path for r in extract.symbols_of(got).collect()].count("/a.py") == 0 and len(body) > 900
+    calls = {r.target for r in extract.references_of(got).where("file_path = '/c.js' and reference_type = 'CALLS'").collect()}
+    assert "last" in calls and "other" not in calls

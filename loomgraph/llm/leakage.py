@@ -51,9 +51,9 @@ class Automaton:
                 owners[last].add(item)
         # an ending occurs wherever any longer one does: hand items down the suffix links
         for s in sorted(range(1, len(self.len)), key=self.len.__getitem__, reverse=True):
-            if self.link[s] > 0:
+            if self.len[self.link[s]] >= min_words:  # shorter endings are never asked
                 owners[self.link[s]] |= owners[s]
-        self.items = [tuple(sorted(o)) for o in owners]
+        self.items = [tuple(sorted(o)) if n >= min_words else () for o, n in zip(owners, self.len)]
 
     def _clone(self, p: int, q: int, w: str, owners: list[set[int]]) -> int:
         c = len(self.len)

@@ -212,8 +212,8 @@ def _shape(line: str = "last_line"):
 def _begun(lines: DataFrame, col: str) -> DataFrame:
     """Values of ``col`` (with counts ``n``) that are a proper prefix of a far more frequent value."""
     often = lines.where((F.col("n") >= LINE_FACTOR) & (F.length(col) > 1))
-    sizes = lines.agg(F.collect_set(F.length(col)).alias("sizes"))
-    parts = often.crossJoin(F.broadcast(sizes)).select("n", col, F.explode(F.expr(f"filter(sizes, i -> i < length({col}))")).alias("i")).select("n", F.expr(f"substring({col}, 1, i)").alias(col))
+    sizes = lines.agg(F.collect_set(F.length(col))).scalar()
+    parts = often.withColumn("sizes", sizes).select("n", col, F.explode(F.expr(f"filter(sizes, i -> i < length({col}))")).alias("i")).select("n", F.expr(f"substring({col}, 1, i)").alias(col))
     parts = parts.groupBy(col).agg(F.max("n").alias("of"))
     return lines.join(parts, col).where(F.col("of") >= LINE_FACTOR * F.col("n")).select(col)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from loomgraph.operators import pattern as P
 from loomgraph.operators.graph import PropertyGraph, code_graph, structure_graph
-from loomgraph.session import load
+from loomgraph.session import Cuts, load, maybe_broadcast
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -373,13 +373,14 @@ def q38_wrong_edges(spark, d):
 @query(f"""with {E}, k as (select *, row_number() over (partition by type order by eid) as rank from e) select type, eid, src, dst from k where rank <= 3""")
 def q39_samples_per_type(spark, d):
     # the three least of a type are three partial aggregates over it: no task ever holds or sorts a type
-    e = graph(spark, d).edges.select("type", "eid", "src", "dst")
-    first = None
+    cuts = Cuts(spark, "samples")
+    e = cuts.write(graph(spark, d).edges.select("type", "eid", "src", "dst"))
+    first, types = None, 0
     for _ in range(3):
-        rest = e if first is None else e.join(F.broadcast(first.groupBy("type").agg(F.max("eid").alias("last"))), "type").where("eid > last").drop("last")
-        least = rest.groupBy("type").agg(F.min(F.struct("eid", "src", "dst")).alias("m")).select("type", "m.eid", "m.src", "m.dst")
-        first = least if first is None else first.unionByName(least)
-    return first
+        rest = e if first is None else e.join(maybe_broadcast(first.groupBy("type").agg(F.max("eid").alias("last")), types), "type").where("eid > last").drop("last")
+        least, n = cuts.write_counted(rest.groupBy("type").agg(F.min(F.struct("eid", "src", "dst")).alias("m")).select("type", "m.eid", "m.src", "m.dst"))
+        first, types = (least, n) if first is None else (first.unionByName(least), types)
+    return cuts.finish(first)
 
 
 @query(f"""with {N}, {PE} select a.name as directory, f.name as file, c.name as class from pe p join n a on a.id = p.src join n f on f.id = p.dst join pe q on q.src = f.id join n c on c.id = q.dst where a.type = 'directory' and f.type = 'file' and c.type = 'class' order by c.id limit 10""")
